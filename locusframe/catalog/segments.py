@@ -232,7 +232,7 @@ st AS (SELECT 'd' || length(a) AS scenario, count(*) AS n, avg(phi) AS mean, std
               stddev_samp(phi) AS sd_samp FROM k GROUP BY 1)
 SELECT scenario, n, round(mean, 6) AS mean, round(sd_pop, 6) AS sd_pop, round(sd_samp, 6) AS sd_samp,
        round(sd_pop / mean, 6) AS cv, round(sd_pop / sqrt(n), 6) AS se, round(1.96 * sd_pop / sqrt(n), 6) AS ci95,
-       0.25 AS expected, round(100 * (mean - 0.25) / 0.25, 6) AS diff_pct, abs((mean - 0.25) / 0.25) < 0.1 AS passed FROM st""",
+       CAST(0.25 AS DOUBLE) AS expected, round(100 * (mean - 0.25) / 0.25, 6) AS diff_pct, abs((mean - 0.25) / 0.25) < 0.1 AS passed FROM st""",
     ),
     "in_target_regions": (
         ["target_regions"],
