@@ -458,6 +458,8 @@ def with_tables(names: list[str], body: str, recursive: bool = False) -> str:
         add(name)
     ctes = [f"{n} AS ({SQL[n]})" for n in wanted]
     body = body.strip()
+    if not ctes:
+        return body
     if body.upper().startswith("WITH "):
         body = body[5:].lstrip()
         if body.upper().startswith("RECURSIVE "):

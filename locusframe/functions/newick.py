@@ -11,8 +11,18 @@ from pyspark.sql import types as T
 
 TOKEN = re.compile(r"[(),]|[^(),;]+")
 
-NODE_TYPE = (
-    "array<struct<node:int,parent:int,name:string,branch_length:double,depth:double,level:int,is_leaf:boolean>>"
+NODE_TYPE = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("node", T.IntegerType()),
+            T.StructField("parent", T.IntegerType()),
+            T.StructField("name", T.StringType()),
+            T.StructField("branch_length", T.DoubleType()),
+            T.StructField("depth", T.DoubleType()),
+            T.StructField("level", T.IntegerType()),
+            T.StructField("is_leaf", T.BooleanType()),
+        ]
+    )
 )
 
 
