@@ -9,17 +9,21 @@ from pyspark.sql.window import Window
 from locusframe.functions.scalars import MISSING_ALLELES, Z_95, called, is_het, null_missing, proportion_interval
 from locusframe.session import materialize
 
-A1, A2 = F.col("allele1"), F.col("allele2")
+
+def _alleles() -> tuple[Column, Column]:
+    return F.col("allele1"), F.col("allele2")
 
 
 def with_missing_as_null(geno: DataFrame) -> DataFrame:
-    return geno.withColumns({"allele1": null_missing(A1), "allele2": null_missing(A2)})
+    a1, a2 = _alleles()
+    return geno.withColumns({"allele1": null_missing(a1), "allele2": null_missing(a2)})
 
 
 def typed(geno: DataFrame) -> DataFrame:
     """Rows with both alleles called, plus an ``is_het`` flag."""
+    a1, a2 = _alleles()
     clean = with_missing_as_null(geno)
-    return clean.where(called(A1, A2)).withColumn("is_het", A1 != A2)
+    return clean.where(called(a1, a2)).withColumn("is_het", a1 != a2)
 
 
 def duplicate_genotypes(geno: DataFrame) -> DataFrame:
@@ -71,8 +75,9 @@ def locus_summary(geno: DataFrame) -> DataFrame:
     The list shows the missing symbols that occurred as well, and is empty when
     the locus has no called allele.
     """
+    a1, a2 = _alleles()
     symbols = (
-        geno.select("locus", F.explode(F.array(A1, A2)).alias("allele"))
+        geno.select("locus", F.explode(F.array(a1, a2)).alias("allele"))
         .groupBy("locus", "allele")
         .agg(F.count(F.lit(1)).alias("copies"))
     )
@@ -90,9 +95,10 @@ def locus_summary(geno: DataFrame) -> DataFrame:
 
 def drop_empty_loci(geno: DataFrame) -> DataFrame:
     """Drop the loci at which no allele was called in any individual."""
+    a1, a2 = _alleles()
     empty = (
         geno.groupBy("locus")
-        .agg(F.count(F.coalesce(null_missing(A1), null_missing(A2))).alias("n"))
+        .agg(F.count(F.coalesce(null_missing(a1), null_missing(a2))).alias("n"))
         .where("n = 0")
         .select("locus")
     )
@@ -116,9 +122,10 @@ def heterozygosity(geno: DataFrame, by: str = "ind") -> DataFrame:
     ``by='ind'``: per individual over loci.  ``by='locus'``: per population and
     locus, on the full population x locus grid.
     """
+    a1, a2 = _alleles()
     clean = with_missing_as_null(geno)
     counts = clean.groupBy("pop", by).agg(
-        F.count_if(called(A1, A2)).alias("n_typed"), F.count_if(is_het(A1, A2)).alias("n_het")
+        F.count_if(called(a1, a2)).alias("n_typed"), F.count_if(is_het(a1, a2)).alias("n_het")
     )
     if by == "locus":
         counts = complete_grid(materialize(counts, "het-cells")).fillna(0, ["n_typed", "n_het"])

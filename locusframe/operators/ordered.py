@@ -142,3 +142,25 @@ def with_running_sum(
         .withColumn(name, F.col("before") + F.col("_inside"))
         .drop("before", "_inside")
     )
+
+
+def with_running_last(
+    df: DataFrame, group: Sequence[str], bucket: str, order: Sequence[str], value: str, name: str
+) -> DataFrame:
+    """Add the last non-NULL ``value`` at or before each row."""
+    keys = [*group, bucket]
+    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    across = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    picked = F.when(F.col(value).isNotNull(), F.struct(*order))
+    carry = (
+        df.groupBy(*keys)
+        .agg(F.max_by(F.col(value), picked).alias("_edge"))
+        .withColumn("_carry", F.last("_edge", ignorenulls=True).over(across))
+        .drop("_edge")
+    )
+    return (
+        df.withColumn(name, F.last(value, ignorenulls=True).over(inside))
+        .join(carry, keys)
+        .withColumn(name, F.coalesce(F.col(name), F.col("_carry")))
+        .drop("_carry")
+    )

@@ -115,12 +115,13 @@ def half_founders(ped: DataFrame) -> DataFrame:
 
 # -------------------------------------------------------------------- levels
 
-def _settle(ped: DataFrame, label: str) -> tuple[DataFrame, DataFrame, int]:
+def _settle(ped: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
     """Round r settles the rows whose defined parents are all settled.
 
-    Each round joins the open rows with the newest settled round only, writes
-    the rows it settled to the ledger and the shrunken rest to a new table.
-    Returns (settled with ``level``, never settled, rounds).
+    Each round joins the open rows with the newest settled round only and
+    writes them once, split into settled and open; the settled parts of all
+    rounds read as one table partitioned by level.
+    Returns (settled with ``level``, never settled).
     """
     people = ped.groupBy("ind").agg(F.min_by(F.struct("father", "mother"), "line_no").alias("p"))
     people = people.select("ind", "p.father", "p.mother")
@@ -133,25 +134,26 @@ def _settle(ped: DataFrame, label: str) -> tuple[DataFrame, DataFrame, int]:
         people.join(names.withColumnRenamed("name", "mother"), "mother", "left_semi")
         .select("ind", F.lit(True).alias("has_m"))
     )
-    open_rows = materialize(
+    state = (
         people.join(defined, "ind", "left")
         .join(defined_m, "ind", "left")
-        .select("ind", "father", "mother", F.col("has_f").isNotNull().alias("wait_f"), F.col("has_m").isNotNull().alias("wait_m")),
-        f"{label}-open",
+        .select("ind", "father", "mother", F.col("has_f").isNotNull().alias("wait_f"), F.col("has_m").isNotNull().alias("wait_m"))
     )
-    ledger = Ledger(ped.sparkSession, f"{label}-levels")
+    spark = ped.sparkSession
+    root = Ledger(spark, f"{label}-levels").root
+    columns = "ind string, father string, mother string, wait_f boolean, wait_m boolean, "
     level = 0
     while True:
-        ready = F.expr("NOT wait_f AND NOT wait_m")
-        newest = ledger.append(
-            open_rows.where(ready).select("ind", "father", "mother", F.lit(level).alias("level"))
-        )
-        rest = open_rows.where(~ready)
-        if newest.isEmpty():
-            return ledger.read(), rest, level
+        path = f"{root}/level={level}"
+        state.withColumn("settled", F.expr("NOT wait_f AND NOT wait_m")).write.partitionBy("settled").parquet(path)
+        round_ = spark.read.schema(columns + "settled boolean").parquet(path)
+        newest, rest = round_.where("settled"), round_.where("NOT settled").drop("settled")
+        if rest.isEmpty() or newest.isEmpty():
+            done = spark.read.schema(columns + "level int, settled boolean").parquet(root).where("settled")
+            return done.select("ind", "father", "mother", "level"), rest
         done_f = newest.select(F.col("ind").alias("father"), F.lit(True).alias("now_f"))
         done_m = newest.select(F.col("ind").alias("mother"), F.lit(True).alias("now_m"))
-        open_rows = materialize(
+        state = (
             rest.join(done_f, "father", "left")
             .join(done_m, "mother", "left")
             .select(
@@ -160,8 +162,7 @@ def _settle(ped: DataFrame, label: str) -> tuple[DataFrame, DataFrame, int]:
                 "mother",
                 (F.col("wait_f") & F.col("now_f").isNull()).alias("wait_f"),
                 (F.col("wait_m") & F.col("now_m").isNull()).alias("wait_m"),
-            ),
-            f"{label}-open",
+            )
         )
         level += 1
 
@@ -173,7 +174,7 @@ def generation_levels(ped: DataFrame, on_cycle: str = "raise") -> DataFrame:
     Members and descendants of a loop have no level; they raise an error, or
     with ``on_cycle='drop'`` are left out.
     """
-    settled, rest, _ = _settle(ped, "pedigree")
+    settled, rest = _settle(ped, "pedigree")
     if on_cycle == "raise" and not rest.isEmpty():
         raise ValueError("the pedigree has an ancestor loop")
     return settled
@@ -189,7 +190,7 @@ def ancestor_loops(ped: DataFrame) -> DataFrame:
     removed and the rest is done again.  Every step moves one row per parent
     link, however long or dense the loops are.
     """
-    _, rest, _ = _settle(ped, "loops")
+    _, rest = _settle(ped, "loops")
     spark = ped.sparkSession
     found = Ledger(spark, "loop-members")
     links = parent_links(rest.withColumn("line_no", F.lit(0))).select("ind", "parent").distinct()
