@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-TOPICS = ("genotypes", "markers", "pedigrees", "segments", "replicates")
+TOPICS = ("genotypes", "markers", "pedigrees", "segments", "replicates", "sources")
 
 
 def all_queries() -> dict:

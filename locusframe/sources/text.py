@@ -11,10 +11,19 @@ from locusframe.session import materialize
 Paths = str | list[str]
 
 
+def logical_file(path: Column) -> Column:
+    """The path, or for a part file the folder it belongs to.
+
+    Part files of one folder, in name order, are one text.
+    """
+    return F.regexp_replace(path, r"/part-[^/]*$", "")
+
+
 def lines(spark: SparkSession, path: Paths) -> DataFrame:
     """(value, file): one row per line, without a trailing carriage return."""
     return spark.read.text(path).select(
-        F.regexp_replace("value", r"\r$", "").alias("value"), F.col("_metadata.file_path").alias("file")
+        F.regexp_replace("value", r"\r$", "").alias("value"),
+        logical_file(F.col("_metadata.file_path")).alias("file"),
     )
 
 
@@ -27,8 +36,8 @@ def numbered_lines(spark: SparkSession, path: Paths, keep: Column | None = None)
     """
     rows = spark.read.text(path).select(
         F.regexp_replace("value", r"\r$", "").alias("value"),
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
+        logical_file(F.col("_metadata.file_path")).alias("file"),
+        F.struct("_metadata.file_path", "_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("id"),
     )
     stored = materialize(rows, "lines")

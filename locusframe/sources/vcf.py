@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from locusframe.plans.sampling import VariantSet
 from locusframe.session import materialize
-from locusframe.sources.text import Paths, lines, write_sorted
+from locusframe.sources.text import Paths, lines, logical_file, write_sorted
 
 FIXED = ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format")
 
@@ -24,15 +24,15 @@ CONTIG_ID = r"ID=([^,>]+)"
 def read_vcf(spark: SparkSession, paths: Paths) -> VariantSet:
     """Meta lines, contigs, sample columns and records of one or more files.
 
-    ``file_id`` is the path.  Lines are split by tabs where a column is used:
+    ``file_id`` is the path, or the folder of a file written in parts.  Lines are split by tabs where a column is used:
     a query on (chrom, pos) only cuts the first two fields out of each line.
     """
     rows = lines(spark, paths).withColumnRenamed("file", "file_id")
     value = F.col("value")
     head = spark.read.text(paths).select(
         F.regexp_replace("value", r"\r$", "").alias("value"),
-        F.col("_metadata.file_path").alias("file_id"),
-        F.col("_metadata.file_block_start").alias("block"),
+        logical_file(F.col("_metadata.file_path")).alias("file_id"),
+        F.struct("_metadata.file_path", "_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("id"),
     )
     head = materialize(head.where(value.startswith("#")), "vcf-header")
@@ -125,6 +125,6 @@ def vcf_rows(cohort: VariantSet) -> DataFrame:
 def write_vcf(cohort: VariantSet, path: str) -> None:
     """One folder per file; its part files in name order are the whole VCF."""
     write_sorted(
-        vcf_rows(cohort).withColumn("file_id", F.regexp_extract("file_id", r"([^/]*)$", 1)),
+        vcf_rows(cohort).withColumn("file_id", F.regexp_extract("file_id", r"(?:^|[/=])([^/=]*)$", 1)),
         path, ["section", "line_no", "chrom", "pos"], partition="file_id",
     )

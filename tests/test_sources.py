@@ -27,6 +27,30 @@ def tiny_splits(spark):
         spark.conf.set(k, v)
 
 
+@pytest.fixture
+def many_parts(spark):
+    """Keep small part files apart."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_part_files_are_one_text(spark, text_file, tmp_path, many_parts):
+    cohort = vcf.read_vcf(spark, text_file("parts.vcf", VCF))
+    vcf.write_vcf(cohort, str(tmp_path / "v"))
+    folder = tmp_path / "v" / "file_id=parts.vcf"
+    assert len(glob.glob(f"{folder}/part-*")) > 1
+    again = vcf.read_vcf(spark, str(folder))
+    assert again.variants.join(again.samples, "file_id").count() == 9
+    assert rows(again.meta, "line_no", "line") == rows(cohort.meta, "line_no", "line")
+    founders = spark.createDataFrame([("f0", 0)], FOUNDERS)
+    chunks = [("f0", h, n, c * 160) for h in (0, 1) for n, c in enumerate("ACGT")]
+    df = spark.createDataFrame(chunks, "founder string, homolog int, chunk_no bigint, bases string")
+    fasta.write_fasta(df, str(tmp_path / "f"), name="founder")
+    assert len(glob.glob(f"{tmp_path}/f/part-*")) > 1
+    assert rows(fasta.read_fasta(spark, str(tmp_path / "f"), founders, 160)[1]) == sorted(chunks, key=repr)
+
+
 def test_line_numbers_over_splits(spark, text_file, tiny_splits):
     content = [f"line {i} " + "x" * (i % 17) if i % 7 else "" for i in range(1, 301)]
     path = text_file("long.txt", "\n".join(content) + "\n")
