@@ -145,22 +145,22 @@ def with_running_sum(
 
 
 def with_running_last(
-    df: DataFrame, group: Sequence[str], bucket: str, order: Sequence[str], value: str, name: str
+    df: DataFrame, group: Sequence[str], bucket: str, order: Sequence[str], values: dict[str, str]
 ) -> DataFrame:
-    """Add the last non-NULL ``value`` at or before each row."""
+    """Add, for each ``{value: name}``, the last non-NULL value at or before each row."""
     keys = [*group, bucket]
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     across = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    picked = F.when(F.col(value).isNotNull(), F.struct(*order))
-    carry = (
-        df.groupBy(*keys)
-        .agg(F.max_by(F.col(value), picked).alias("_edge"))
-        .withColumn("_carry", F.last("_edge", ignorenulls=True).over(across))
-        .drop("_edge")
+    place = F.struct(*order)
+    edges = [
+        F.max_by(F.col(v), F.when(F.col(v).isNotNull(), place)).alias(f"_edge_{name}") for v, name in values.items()
+    ]
+    carry = df.groupBy(*keys).agg(*edges).select(
+        *keys, *[F.last(f"_edge_{name}", ignorenulls=True).over(across).alias(f"_carry_{name}") for name in values.values()]
     )
+    seen = df.withColumns({name: F.last(v, ignorenulls=True).over(inside) for v, name in values.items()})
     return (
-        df.withColumn(name, F.last(value, ignorenulls=True).over(inside))
-        .join(carry, keys)
-        .withColumn(name, F.coalesce(F.col(name), F.col("_carry")))
-        .drop("_carry")
+        seen.join(carry, keys)
+        .withColumns({name: F.coalesce(name, f"_carry_{name}") for name in values.values()})
+        .drop(*[f"_carry_{name}" for name in values.values()])
     )

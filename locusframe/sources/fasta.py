@@ -48,7 +48,7 @@ def read_fasta(
     rows = rows.withColumn(
         "head", F.when(is_head, F.struct(F.substring("value", 2, 1_000_000).alias("header"), F.col("upto").alias("base")))
     )
-    placed = with_running_last(rows, ["file"], "block", ["line_no"], "head", "own").where(~is_head & F.col("own").isNotNull())
+    placed = with_running_last(rows, ["file"], "block", ["line_no"], {"head": "own"}).where(~is_head & F.col("own").isNotNull())
     pieces = placed.select(
         F.col("own.header").alias("header"),
         (F.col("upto") - F.col("n") - F.col("own.base")).alias("offset"),

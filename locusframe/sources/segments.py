@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.sources.text import Paths, lines, tokens, write_sorted
+from locusframe.operators.ordered import with_running_last
+from locusframe.sources.text import Paths, blank_or_comment, lines, numbered_lines, tokens, write_sorted
 
 FOUNDERS_PREFIX = "# Founders:"
 SEGMENT = r"^\s*([0-9.eE+-]+)\s+([0-9.eE+-]+)\s+(\S+)"
@@ -21,32 +22,31 @@ def read_founders(spark: SparkSession, path: Paths) -> DataFrame:
 def read_segments(spark: SparkSession, path: Paths) -> DataFrame:
     """One row per segment line, numbered within its homolog.
 
-    The file is cut at ``Individual:``, so a task sees whole individuals; the
-    chromosome, homolog and segment lines are nested splits of that text.
-    Segments before any chromosome line belong to chromosome 1.
+    The individual, chromosome and homolog of a line come from the headings
+    above it, carried across file splits, so neither a file nor an individual
+    is gathered.  Segments before any chromosome heading belong to chromosome 1.
     """
-    blocks = (
-        spark.read.option("lineSep", "Individual:")
-        .text(path)
-        .where(~F.col("value").startswith("#") & F.col("value").rlike(r"\S"))
+    value = F.col("value")
+    rows = numbered_lines(spark, path, ~blank_or_comment(value))
+    heading = lambda pattern, what: F.when(value.rlike(pattern), F.struct("line_no", what.alias("is")))
+    side = F.when(value.rlike(r"^\s*Paternal:"), 0).otherwise(1)
+    marked = rows.withColumns(
+        {
+            "i": heading(r"^Individual:", F.regexp_extract("value", r"^Individual:\s*(\S+)", 1)),
+            "c": heading(r"^\s*Chromosome:", F.regexp_extract("value", r"Chromosome:\s*(\d+)", 1).try_cast("int")),
+            "h": heading(r"^\s*(Paternal|Maternal):", side),
+        }
     )
-    named = blocks.select(
-        F.regexp_extract("value", r"^\s*(\S+)", 1).alias("ind"),
-        F.posexplode(F.split("value", "Chromosome:")).alias("part", "text"),
-    )
-    chrom = F.when(F.col("part") == 0, 1).otherwise(F.regexp_extract("text", r"^\s*(\d+)", 1).try_cast("int"))
-    homologs = named.select("ind", chrom.alias("chrom"), F.explode(F.split("text", r"(?=Paternal:|Maternal:)")).alias("text"))
-    side = F.when(F.col("text").startswith("Paternal:"), 0).when(F.col("text").startswith("Maternal:"), 1)
-    held = homologs.withColumn("homolog", side).where("homolog IS NOT NULL")
-    found = F.filter(F.split("text", "\n"), lambda x: x.rlike(SEGMENT))
-    rows = held.select("ind", "chrom", "homolog", F.posexplode(found).alias("seq", "line"))
-    field = lambda i: F.regexp_extract("line", SEGMENT, i)
+    placed = with_running_last(marked, ["file"], "block", ["line_no"], {"i": "ind", "c": "chrom", "h": "homolog"})
+    chrom_here = F.coalesce(F.col("chrom.line_no") > F.col("ind.line_no"), F.lit(False))
+    homolog_here = F.col("homolog.line_no") > F.when(chrom_here, F.col("chrom.line_no")).otherwise(F.col("ind.line_no"))
+    field = lambda n: F.regexp_extract("value", SEGMENT, n)
     origin = field(3)
-    return rows.select(
-        "ind",
-        "chrom",
-        "homolog",
-        (F.col("seq") + 1).alias("seq"),
+    return placed.where(homolog_here & value.rlike(SEGMENT)).select(
+        F.col("ind.is").alias("ind"),
+        F.when(chrom_here, F.col("chrom.is")).otherwise(1).alias("chrom"),
+        F.col("homolog.is").alias("homolog"),
+        (F.col("line_no") - F.col("homolog.line_no")).cast("int").alias("seq"),
         field(1).try_cast("double").alias("start"),
         field(2).try_cast("double").alias("end"),
         F.substring_index(origin, ":", 1).alias("founder"),

@@ -36,7 +36,7 @@ def test_bucketed_windows_equal_plain_windows(spark):
         .join(O.with_neighbour(cut, ["g"], "bucket", ["x"], ["id"], "p").select("id", F.col("p.id").alias("before")), "id")
         .join(O.with_neighbour(cut, ["g"], "bucket", ["x"], ["id"], "p", ahead=True).select("id", F.col("p.id").alias("after")), "id")
         .join(O.with_running_sum(cut, ["g"], "bucket", ["x"], "n", "total").select("id", "total"), "id")
-        .join(O.with_running_last(cut, ["g"], "bucket", ["x"], "v", "seen").select("id", "seen"), "id")
+        .join(O.with_running_last(cut, ["g"], "bucket", ["x"], {"v": "seen"}).select("id", "seen"), "id")
     )
     assert rows(ours) == rows(plain)
 
