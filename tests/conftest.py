@@ -10,7 +10,7 @@ from locusframe.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session("locusframe-tests", cores=4, partitions=4)
+    return local_session("locusframe-tests", cores=8, partitions=4)
 
 
 @pytest.fixture

@@ -49,11 +49,11 @@ def kinship_by_hand(triples):
     return phi
 
 
-def random_pedigree(seed, founders=6, others=24, half=False):
+def random_pedigree(seed, founders=5, others=13, half=False):
     rng = random.Random(seed)
     rows_ = [(f"n{i}", None, None) for i in range(founders)]
     for i in range(founders, founders + others):
-        f, m = rng.sample(range(max(0, i - 12), i), 2)
+        f, m = rng.sample(range(max(0, i - 7), i), 2)
         rows_.append((f"n{i}", f"n{f}", None if half and rng.random() < 0.2 else f"n{m}"))
     return rows_
 
@@ -64,7 +64,7 @@ def test_three_generations(spark):
     assert phi["Child1", "Child2"] == 0.25 and phi["Child2", "Child1"] == 0.25
     assert phi["Father", "Child1"] == 0.25 and phi["GF1", "Child1"] == 0.125
     assert ("GF1", "GM1") not in phi and phi["GF1", "GF1"] == 0.5 and phi["Child1", "Child1"] == 0.5
-    r = {(x.a, x.b): x.r for x in kinship_report(ped, "relatedness").collect()}
+    r = {(x.a, x.b): x.r for x in kinship_report(ped, "relatedness", validate=False).collect()}
     assert near(r["Child1", "Child2"], 0.5)
 
 
