@@ -32,3 +32,8 @@ def slices(batch, rows: int):
     """Parts of an Arrow batch of at most ``rows`` rows, so that long texts do not add up."""
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
+
+
+def let(value: Column, body) -> Column:
+    """``body(x)`` with ``x`` bound to ``value``, computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -38,8 +38,9 @@ class Shingler:
         import xxhash
 
         known = self.known
-        for w in set(words) - known.keys():
-            known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+        for w in set(words):
+            if w not in known:
+                known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
         return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
 
     def __call__(self, text: str | None) -> np.ndarray:

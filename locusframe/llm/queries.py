@@ -2,29 +2,91 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 from locusframe.llm.common import table
+from locusframe.llm.minhash import near_duplicates
+from locusframe.llm.mixing import mix_probabilities
+from locusframe.llm.packing import pack_documents
+from locusframe.llm.pii import pseudonymise
+from locusframe.llm.quality import BASE_COUNTS, quality_cascade
+from locusframe.llm.secret_links import secret_digest
+from locusframe.llm.syncmers import fingerprint_edits
+from locusframe.llm.token_store import store_digest
+from locusframe.llm.toxicity import toxicity
+from locusframe.llm.url_filter import filter_urls
 
+#: Folder of the public tokenizer files.
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+#: The key of the pseudonyms; a deployment sets its own.
+PII_KEY = os.environ.get("PII_KEY", "corpus-2024")
+URL_RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
 
-def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from locusframe.llm.minhash import near_duplicates
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, per_cent=80)
 
 
-def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from locusframe.llm.quality import BASE_COUNTS, quality_cascade
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store_digest(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", end_id=1)
+
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_cascade(table(spark, sf_dir, "documents").select("doc_id", "text"), features=True)
     return judged.select("doc_id", *BASE_COUNTS, "base_failed", "kept")
 
 
-def op8_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from locusframe.llm.secret_links import secret_digest
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", size=2048, end_id=0)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_probabilities(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "selected")
+
+
+def op7_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+def op8_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op3_quality_rules, op8_secret_links)}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_minhash_dedup,
+        op2_token_store,
+        op3_quality_rules,
+        op4_best_fit_packing,
+        op5_pii_pseudonyms,
+        op6_mixing,
+        op7_syncmer_fingerprints,
+        op8_secret_links,
+        op9_toxicity,
+        op10_url_filter,
+    )
+}
 ORACLES: dict[str, str] = {}
