@@ -2,7 +2,7 @@
 
 import pytest
 
-import __spark_entry__ as entry
+from locusframe.catalog import all_oracles, all_queries
 from oracle_check import compare, duck
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -14,11 +14,11 @@ def con():
 
 
 def test_registry_is_complete():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(all_queries()) == set(all_oracles())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_query(spark, con, name):
-    count, problem = compare(spark, con, name, entry.queries()[name], entry.oracle_sql()[name], SF_DIR)
+    count, problem = compare(spark, con, name, all_queries()[name], all_oracles()[name], SF_DIR)
     assert problem is None
     assert count > 0
