@@ -94,48 +94,49 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda s, i: s + value(i))
 
 
-def _number(match: Column, key: str) -> Column:
-    """Luhn-valid numbers keep a valid check digit; others are permuted whole. A class never becomes the other's."""
-    def renumbered(x: Column) -> Column:
-        return _refill(match, _renumbered(x["digits"], x["body"]))
+def _is_card(match: Column) -> Column:
+    return F.pmod(luhn_sum(F.regexp_replace(match, "[^0-9]", "")), F.lit(10)) == 0
 
-    digits = F.regexp_replace(match, "[^0-9]", "")
-    return let(F.struct(digits.alias("digits"), permuted_digits(digits.substr(F.lit(1), F.length(digits) - 1), key, "card").alias("body")), renumbered)
 
+def _number(match: Column, key: str) -> Column:
+    """Numbers that pass the Luhn check get new digits and pass it again; others keep their text."""
 
-def _renumbered(digits: Column, body: Column) -> Column:
-    n = F.length(digits)
-    check = F.pmod(10 - F.pmod(luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10))
-    valid = F.pmod(luhn_sum(digits), F.lit(10)) == 0
-    # A number that fails the check keeps its distance from the right check digit, so it fails it again.
-    own = F.pmod(10 - F.pmod(luhn_sum(F.concat(digits.substr(F.lit(1), n - 1), F.lit("0"))), F.lit(10)), F.lit(10))
-    off = F.pmod(digits.substr(n, F.lit(1)).cast("int") - own, F.lit(10))
-    last = F.when(valid, check).otherwise(F.pmod(check + off, F.lit(10)))
-    return F.concat(body, last.cast("string"))
+    def renumbered(body: Column) -> Column:
+        check = F.pmod(10 - F.pmod(luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10))
+        return _refill(match, F.concat(body, check.cast("string")))
 
+    digits = F.regexp_replace(match, "[^0-9]", "")
+    body = permuted_digits(digits.substr(F.lit(1), F.length(digits) - 1), key, "card")
+    return F.when(_is_card(match), let(body, renumbered)).otherwise(match)
 
-def _date(match: Column, key: str) -> Column:
-    """Valid dates move to another day of their 400-year cycle; others keep their text."""
+
+def _day_of(match: Column) -> Column:
+    """(day, american): the day that a match names, null where there is none."""
     iso = match.rlike(r"^\d{4}-")
     part = lambda i: F.get(F.split(match, "[./-]"), F.lit(i))
-    sep = F.when(match.contains("/"), F.lit("/")).otherwise(F.lit("."))
     # D.M.Y and D/M/Y; where that is no date, D/M/Y is read as M/D/Y.
     y, first, second = part(2), part(0), part(1)
     dmy = F.try_to_timestamp(F.concat_ws("-", y, F.lpad(second, 2, "0"), F.lpad(first, 2, "0")), F.lit("yyyy-MM-dd")).cast("date")
     mdy = F.try_to_timestamp(F.concat_ws("-", y, F.lpad(first, 2, "0"), F.lpad(second, 2, "0")), F.lit("yyyy-MM-dd")).cast("date")
     day = F.when(iso, F.try_to_timestamp(match, F.lit("yyyy-MM-dd")).cast("date")).otherwise(F.coalesce(dmy, mdy))
-    american = ~iso & dmy.isNull() & mdy.isNotNull()
-    year = F.when(iso, part(0)).otherwise(y).cast("int")
-    origin = F.make_date(F.floor(year / 400).cast("int") * 400, F.lit(1), F.lit(1))
-    place = F.date_diff(day, origin).cast("long")
-    moved = F.date_add(origin, feistel(place, F.lit(DAYS_A), F.lit(DAYS_B), key, "date").cast("int"))
-    text = (
-        F.when(iso, F.date_format(moved, "yyyy-MM-dd"))
-        .when(american, F.concat_ws("/", F.date_format(moved, "MM"), F.date_format(moved, "dd"), F.date_format(moved, "yyyy")))
-        .otherwise(F.concat(F.date_format(moved, "dd"), sep, F.date_format(moved, "MM"), sep, F.date_format(moved, "yyyy")))
-    )
-    # Year 0 has no date to count from; such texts stay as they are.
-    return F.when(day.isNull() | origin.isNull() | (year < 400), match).otherwise(text)
+    day = F.when(F.year(day) >= 400, day)  # the cycle of year 0 has no first day to count from
+    return F.struct(day.alias("day"), (~iso & dmy.isNull() & mdy.isNotNull()).alias("american"))
+
+
+def _date(match: Column, key: str) -> Column:
+    """Valid dates move to another day of their 400-year cycle and keep their layout; others keep their text."""
+
+    def moved(x: Column) -> Column:
+        origin = F.make_date((F.floor(F.year(x["day"]) / 400) * 400).cast("int"), F.lit(1), F.lit(1))
+        place = F.date_diff(x["day"], origin).cast("long")
+        return let(F.date_add(origin, feistel(place, F.lit(DAYS_A), F.lit(DAYS_B), key, "date").cast("int")), lambda to: text(x, to))
+
+    def text(x: Column, to: Column) -> Column:
+        sep = F.when(match.contains("/"), F.lit("/")).otherwise(F.lit("."))
+        y, m, d = (F.date_format(to, p) for p in ("yyyy", "MM", "dd"))
+        return F.when(match.rlike(r"^\d{4}-"), F.concat_ws("-", y, m, d)).when(x["american"], F.concat_ws("/", m, d, y)).otherwise(F.concat(d, sep, m, sep, y))
+
+    return let(_day_of(match), lambda x: F.when(x["day"].isNotNull(), moved(x)).otherwise(match))
 
 
 def _ip(match: Column, key: str) -> Column:
@@ -146,23 +147,33 @@ def _ip(match: Column, key: str) -> Column:
     return F.concat_ws(".", at(1 << 24), at(1 << 16), at(1 << 8), at(1))
 
 
+def _remainder(code: Column) -> Column:
+    """An IBAN's letters and digits as a number, modulo 97; letters count from 10."""
+    digits = F.array_join(F.transform(F.split(code, ""), lambda c: F.when(c.rlike("^[A-Z]$"), (F.ascii(c) - 55).cast("string")).otherwise(c)), "")
+    return F.aggregate(F.split(digits, ""), F.lit(0), lambda r, c: F.pmod(r * 10 + F.coalesce(c.try_cast("int"), F.lit(0)), F.lit(97)))
+
+
+def _is_iban(match: Column) -> Column:
+    bare = F.replace(match, F.lit(" "), F.lit(""))
+    return _remainder(F.concat(bare.substr(F.lit(5), F.length(bare)), bare.substr(F.lit(1), F.lit(4)))) == 1
+
+
 def _iban(match: Column, key: str) -> Column:
     """Valid IBANs keep country and layout and get new digits and check digits; others keep their text."""
     bare = F.replace(match, F.lit(" "), F.lit(""))
-    number = lambda s: F.array_join(F.transform(F.split(s, ""), lambda c: F.when(c.rlike("^[A-Z]$"), (F.ascii(c) - 55).cast("string")).otherwise(c)), "")
-    remainder = lambda s: F.aggregate(F.split(number(s), ""), F.lit(0), lambda r, c: F.pmod(r * 10 + F.coalesce(c.try_cast("int"), F.lit(0)), F.lit(97)))
-    country, body = bare.substr(F.lit(1), F.lit(2)), bare.substr(F.lit(5), F.length(bare) - 4)
-    valid = remainder(F.concat(body, country, bare.substr(F.lit(3), F.lit(2)))) == 1
+    country, body = bare.substr(F.lit(1), F.lit(2)), bare.substr(F.lit(5), F.length(bare))
     digits = F.regexp_replace(body, "[^0-9]", "")
     first, rest = digits.substr(F.lit(1), F.lit(16)), digits.substr(F.lit(17), F.lit(30))
     moved = F.concat(
         F.when(F.length(first) > 0, permuted_digits(first, key, "iban")).otherwise(first),
         F.when(F.length(rest) > 0, permuted_digits(rest, key, "iban2")).otherwise(rest),
     )
-    changed = _refill(body, moved)
-    check = F.lpad((98 - remainder(F.concat(changed, country, F.lit("00")))).cast("string"), 2, "0")
-    whole = F.concat(check, F.regexp_replace(changed, "[^0-9]", ""))
-    return F.when(valid, _refill(match, whole)).otherwise(match)
+
+    def checked(changed: Column) -> Column:
+        check = F.lpad((98 - _remainder(F.concat(changed, country, F.lit("00")))).cast("string"), 2, "0")
+        return _refill(match, F.concat(check, F.regexp_replace(changed, "[^0-9]", "")))
+
+    return F.when(_is_iban(match), let(_refill(body, moved), checked)).otherwise(match)
 
 
 def _email(match: Column, key: str) -> Column:
@@ -207,13 +218,19 @@ def _pseudonym(match: Column, kind: Column, key: str) -> Column:
     )
 
 
+def is_private(match: Column) -> Column:
+    """Whether a match passes the check of its kind; kinds without a check always do."""
+    return let(kind_of(match), lambda kind: F.when(kind == "number", _is_card(match)).when(kind == "iban", _is_iban(match)).when(kind == "date", _day_of(match)["day"].isNotNull()).otherwise(True))
+
+
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``docs`` with personal data in ``text`` replaced and ``n_private``, the number of values found.
+    """``docs`` with personal data in ``text`` replaced and ``n_private``, the number of values replaced.
 
     Numbers and dates are permuted within their format by a keyed Feistel
     network: equal values have equal pseudonyms in all documents and different
     values of a format have different ones. Luhn and IBAN check digits, valid
-    dates, octets, separators and lengths stay right. Mail addresses get a keyed
+    dates, octets, separators and lengths stay right; long numbers, IBANs and
+    dates that fail their check are no personal data and keep their text. Mail addresses get a keyed
     name at a reserved domain. Everything is built-in expressions, without a
     shuffle; each distinct value of a text is computed once.
 
@@ -222,7 +239,7 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     column ``n_private`` is replaced and other columns are kept.
     """
     found = F.regexp_extract_all(F.col(text), F.lit(f"({ANY})"), F.lit(1))
-    docs = docs.drop("n_private").withColumn("n_private", F.when(F.col(text).rlike("[0-9@]"), F.coalesce(F.size(found), F.lit(0))).otherwise(0).cast("long"))
+    docs = docs.drop("n_private").withColumn("n_private", F.when(F.col(text).rlike("[0-9@]"), F.coalesce(F.size(F.filter(found, is_private)), F.lit(0))).otherwise(0).cast("long"))
     names = F.transform(found, lambda m: pseudonym(m, key))
     between = F.split(F.col(text), ANY, -1)
     pieces = F.zip_with(between, names, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
