@@ -23,7 +23,10 @@ WINDOW = 16
 DISCOUNT = 3.0
 #: Counts of the classes within this factor count as alike.
 ALIKE = 3.0
-_CLASSES = 2
+#: The most that one pair can say, so that a copied passage does not outweigh a text.
+MOST = 3.0
+#: A count of up to this is all discount, so it need not leave Spark.
+LEAST = 10
 
 
 class Hasher:
@@ -45,49 +48,43 @@ class Hasher:
         return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+def _before(h: np.ndarray, k: int) -> np.ndarray:
+    out = np.zeros_like(h)
+    out[k:] = h[:-k]
+    return out
+
+
 def _pairs(h: np.ndarray) -> np.ndarray:
-    """A hash of each word with the one before it; the first follows a start sign."""
-    before = np.zeros_like(h)
-    before[1:] = h[:-1]
-    return _mixed(h + _mixed(before + np.uint64(0x9E3779B97F4A7C15)))
+    """Each word with the one before it: 32 bits of the word, then 32 of a hash of both."""
+    both = _mixed(h + _mixed(_before(h, 1) + np.uint64(0x9E3779B97F4A7C15)))
+    return (h >> np.uint64(32) << np.uint64(32)) | (both >> np.uint64(32))
+
 
+def _word_bucket(pair: np.ndarray) -> np.ndarray:
+    return (pair >> np.uint64(64 - WORD_BITS)).astype(np.int64)
 
-def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
-    return (h >> np.uint64(64 - bits)).astype(np.int64)
 
+def _pair_bucket(pair: np.ndarray) -> np.ndarray:
+    return ((pair & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - PAIR_BITS)).astype(np.int64)
 
-def gather(documents) -> tuple[np.ndarray, ...]:
-    """Distinct pairs of (class, word hashes) of some documents.
 
-    Returns the pair hashes, the buckets of second and first words, and per
-    class a mask with one bit, of 64, for each kind of word before the pair.
+def gather(documents) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of (class, word hashes) of some documents, each with a mask.
+
+    A mask has 32 bits for each class, the toxic one above the ordinary one,
+    and one bit for each kind of word before the pair.
     """
-    columns: list[list[np.ndarray]] = [[], [], [], [], []]
+    pairs, masks = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.uint64)]
     for label, h in documents:
-        if len(h):
-            before = np.zeros_like(h)
-            before[1:] = h[:-1]
-            earlier = np.zeros_like(h)
-            earlier[2:] = h[:-2]
-            bit = np.uint64(1) << (_mixed(earlier) & np.uint64(63))
-            none = np.zeros_like(h)
-            masks = (none, bit) if label else (bit, none)
-            for column, values in zip(columns, (_pairs(h), _bucket(h, WORD_BITS), _bucket(before, WORD_BITS), *masks), strict=True):
-                column.append(values)
-    if not columns[0]:
-        empty = np.zeros(0, dtype=np.uint64)
-        return empty, empty.astype(np.int64), empty.astype(np.int64), empty, empty
-    pair, w, v, m0, m1 = map(np.concatenate, columns)
+        pairs.append(_pairs(h))
+        masks.append(np.uint64(1) << ((_mixed(_before(h, 2)) & np.uint64(31)) + np.uint64(32 * label)))
+    pair, mask = np.concatenate(pairs), np.concatenate(masks)
+    if not len(pair):
+        return pair, mask
     order = np.argsort(pair, kind="stable")
     pair = pair[order]
     first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
-    return pair[first], w[order][first], v[order][first], np.bitwise_or.reduceat(m0[order], first), np.bitwise_or.reduceat(m1[order], first)
-
-
-def kinds(mask: np.ndarray) -> np.ndarray:
-    """Distinct words behind a mask, by linear counting."""
-    ones = np.bitwise_count(mask.astype(np.uint64)).astype(np.float64)
-    return -64.0 * np.log1p(-np.minimum(ones, 63.0) / 64.0)
+    return pair[first], np.bitwise_or.reduceat(mask[order], first)
 
 
 def _discounts(counts: np.ndarray) -> np.ndarray:
@@ -106,44 +103,43 @@ class Model:
 
     ``words`` holds, per class, the number of distinct words before a word: the
     Kneser-Ney continuation count, which copies of a passage do not raise.
-    ``pairs`` holds the same for pairs, ``contexts`` its sum over the pairs that
-    a word begins. The larger class is scaled to the size of the smaller. Each class backs
+    ``pairs`` holds the same for pairs. The larger class is scaled to the size of the smaller. Each class backs
     off from pairs to words, and from words to one distribution, the pooled
     discounts of both.
     """
 
-    def __init__(self, words: np.ndarray, pairs: np.ndarray, contexts: np.ndarray):
-        total = words.sum(axis=1, keepdims=True).astype(np.float64)
-        learned = total.min() > 0
-        size = max(float(total.min()), 1.0)
-        scaled = words * (size / np.maximum(total, 1.0))
+    def __init__(self, words: np.ndarray, pairs: np.ndarray, totals: np.ndarray):
+        """``totals`` has, per table and class, the sum of all counts; those of up to LEAST in both classes may be left out."""
+        learned = totals[0].min() > 0
+        size = max(float(totals[0].min()), 1.0)
+        scaled = scaled_words = words * (size / np.maximum(totals[0], 1.0))[:, None]
         given = _discounts(scaled) if learned else scaled
         kept = scaled - given
-        shared = given.sum(axis=0) + 0.5
-        shared /= shared.sum()
-        back = np.maximum(1.0 - kept.sum(axis=1, keepdims=True) / size, 1e-9)
+        mass = kept.sum(axis=1, keepdims=True)
+        shared = (given.sum(axis=0) + 0.5) / (2 * size - mass.sum() + 0.5 * words.shape[1])
+        back = np.maximum(1.0 - mass / size, 1e-9)
         # Divided by the class's backoff weight: an expression that backs off in both classes has ratio 1.
         self.word = kept / size / back + shared
         self.ratio = np.log(self.word[1]) - np.log(self.word[0])
-        total = pairs.sum(axis=1, keepdims=True).astype(np.float64)
-        scale = max(float(total.min()), 1.0) / np.maximum(total, 1.0)
+        scale = (max(float(totals[1].min()), 1.0) / np.maximum(totals[1], 1.0))[:, None]
         scaled = pairs * scale
         self.pair = (scaled - _discounts(scaled) if learned else np.zeros(pairs.shape)).astype(np.float32)
-        self.context = (contexts * scale).astype(np.float32)
+        self.context = scaled_words.astype(np.float32)
         self.weights = np.zeros(4)
 
     def log_ratios(self, h: np.ndarray) -> np.ndarray:
         """log P(word | before, toxic) - log P(word | before, ordinary); 0 where a word comes again."""
-        w, p = _bucket(h, WORD_BITS), _bucket(_pairs(h), PAIR_BITS)
+        pair = _pairs(h)
+        w, p = _word_bucket(pair), _pair_bucket(pair)
         out = self.ratio[w].copy()
         kept = self.pair[:, p]
         known = np.flatnonzero((kept > 0).any(axis=0))
         if len(known):
             before = np.concatenate([[0], w[:-1]])[known]
-            share = kept[:, known] / (np.maximum(self.context[:, before], kept[:, known]) + 1.0)
+            share = kept[:, known] / (self.context[:, before].sum(axis=0) + kept[:, known].sum(axis=0) + 1.0)
             own = self.word[:, w[known]]
             probability = share + (1.0 - share) * own
-            out[known] = np.log(probability[1]) - np.log(probability[0])
+            out[known] = np.clip(np.log(probability[1]) - np.log(probability[0]), -MOST, MOST)
         again = np.ones(len(w), dtype=bool)
         again[np.unique(w, return_index=True)[1]] = False
         out[again] = 0.0
@@ -210,33 +206,29 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 1_000_000) -> Model:
         hasher = Hasher()
         for batch in batches:
             for part in slices(batch, 512):
-                pair, w, v, m0, m1 = gather((y, hasher(t)) for y, t in zip(part.column("toxic").to_pylist(), part.column("text").to_pylist(), strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(pair.view(np.int64)), pa.array(w.astype(np.int32)), pa.array(v.astype(np.int32)), pa.array(m0.view(np.int64)), pa.array(m1.view(np.int64))],
-                    names=["pair", "w", "v", "m0", "m1"],
-                )
-
-    found = rows.where("fold < 4").select("toxic", "text").mapInArrow(pairs, "pair bigint, w int, v int, m0 bigint, m1 bigint")
-    found = found.groupBy("pair", "w", "v").agg(F.bit_or("m0").alias("m0"), F.bit_or("m1").alias("m1"))
-    seen = lambda m: -64.0 * F.log1p(-F.least(F.bit_count(m), F.lit(63)) / 64.0)  # noqa: E731  kinds(), in SQL
-    found = found.select(
-        F.shiftrightunsigned("pair", 64 - PAIR_BITS).cast("int").alias("p"), "w", "v",
-        (F.col("m0") != 0).cast("long").alias("w0"), (F.col("m1") != 0).cast("long").alias("w1"),
-        seen(F.col("m0")).alias("k0"), seen(F.col("m1")).alias("k1"),
-    )
-    # One pass: each pair adds to its word, its pair bucket and its context.
-    parts = F.array(
-        F.struct(F.lit(0).alias("table"), F.col("w").alias("bucket"), F.col("w0").cast("double").alias("n0"), F.col("w1").cast("double").alias("n1")),
-        F.struct(F.lit(1).alias("table"), F.col("p").alias("bucket"), F.col("k0").alias("n0"), F.col("k1").alias("n1")),
-        F.struct(F.lit(2).alias("table"), F.col("v").alias("bucket"), F.col("k0").alias("n0"), F.col("k1").alias("n1")),
-    )
-    counts = found.select(F.inline(parts)).groupBy("table", "bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    got = counts.toPandas()
-    tables = [np.zeros((2, 1 << bits)) for bits in (WORD_BITS, PAIR_BITS, WORD_BITS)]
+                pair, mask = gather((y, hasher(t)) for y, t in zip(part.column("toxic").to_pylist(), part.column("text").to_pylist(), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), pa.array(mask.view(np.int64))], names=["pair", "mask"])
+
+    found = rows.where("fold < 4").select("toxic", "text").mapInArrow(pairs, "pair bigint, mask bigint")
+    found = found.groupBy("pair").agg(F.bit_or("mask").alias("mask"))
+    half = {0: F.col("mask").bitwiseAND(F.lit(0xFFFFFFFF)), 1: F.shiftrightunsigned("mask", 32)}
+    kinds = {c: -32.0 * F.log1p(-F.least(F.bit_count(m), F.lit(31)) / 32.0) for c, m in half.items()}  # linear counting
+    big = (F.col("n0") > LEAST) | (F.col("n1") > LEAST)
+
+    # Counts of a word or pair are whole before they meet a bucket, so rare ones never add up in one.
+    words = found.select(F.shiftrightunsigned("pair", 32).alias("w"), *((m != 0).cast("double").alias(f"n{c}") for c, m in half.items()))
+    words = words.groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).withColumn("at", F.when(big, F.shiftrightunsigned("w", 32 - WORD_BITS)).otherwise(-1))
+    seen = found.select(F.shiftrightunsigned(F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)), 32 - PAIR_BITS).alias("p"), *(k.alias(f"n{c}") for c, k in kinds.items()))
+    seen = seen.withColumn("at", F.when(big, F.col("p")).otherwise(-1))
+    sums = [t.groupBy("at").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).select(F.lit(i).alias("table"), "at", "n0", "n1") for i, t in enumerate((words, seen))]
+    got = sums[0].unionByName(sums[1]).toPandas()
+    tables, totals = [np.zeros((2, 1 << bits)) for bits in (WORD_BITS, PAIR_BITS)], np.zeros((2, 2))
     for number, own in got.groupby("table"):
+        known = own[own["at"] >= 0]
         for c in (0, 1):
-            tables[number][c, own["bucket"].to_numpy()] = own[f"n{c}"].to_numpy()
-    model = Model(*tables)
+            totals[number, c] = own[f"n{c}"].sum()
+            tables[number][c, known["at"].to_numpy(dtype=np.int64)] = known[f"n{c}"].to_numpy()
+    model = Model(*tables, totals)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def features(batches):
