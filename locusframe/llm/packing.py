@@ -26,9 +26,9 @@ def cut_pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int =
     """
 
     def cut(batches):
-        from locusframe.llm.tokens import Encoder
+        from locusframe.llm.tokens import encoder as encoder_of
 
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer, keep=1_200_000)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             for part in slices(batch, 128):

@@ -68,9 +68,9 @@ def write_store(docs: DataFrame, root: str, tokenizer: str, end_id: int = 1, id_
     kind = {2: "<u2", 4: "<u4"}[id_bytes]
 
     def shards(batches):
-        from locusframe.llm.tokens import Encoder
+        from locusframe.llm.tokens import encoder as encoder_of
 
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer, keep=600_000)
         number = TaskContext.get().partitionId()
         end = np.array([end_id], dtype=kind).tobytes()
         rows = {"doc_id": [], "copy": [], "offset": [], "n_tokens": []}

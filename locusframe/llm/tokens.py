@@ -12,6 +12,11 @@ import numpy as np
 PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: Other white space makes that cut uncertain; such a text is encoded whole.
 OTHER_SPACE = re.compile(r"[^\S \n]")
+#: Both tokenizers also cut between a letter and one of these signs.
+SIGNS = ".,;:!?"
+LETTER_END = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]\Z")
+#: Stands between pieces that are encoded in one call; a special token, so pieces do not touch.
+BETWEEN = "<|endoftext|>"
 
 
 class Encoder:
@@ -21,30 +26,81 @@ class Encoder:
     those of encoding each whole text, as the tests check.
     """
 
-    def __init__(self, path: str, keep: int = 200_000):
+    def __init__(self, path: str, keep: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.plain = Tokenizer.from_file(path)
+        self.plain.encode_special_tokens = True
+        self.cutting = Tokenizer.from_file(path)
+        self.between = self.cutting.token_to_id(BETWEEN)
         self.known: dict[str, bytes] = {}
         self.keep = keep
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.plain.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece, many in one call."""
+        if any("<|" in p for p in pieces):
+            return [self._whole(p) for p in pieces]
+        ids = np.array(self.cutting.encode_batch_fast([BETWEEN.join(pieces)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = [*np.flatnonzero(ids == self.between).tolist(), len(ids)]
+        raw, out, at = ids.tobytes(), [], 0
+        for end in ends:
+            out.append(raw[4 * at : 4 * end])
+            at = end + 1
+        return out
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Add pieces to the known ones; signs after a letter are pieces of their own."""
+        known, whole, ended = self.known, {}, []
+        for piece in pieces:
+            base = piece.rstrip(SIGNS)
+            if base != piece and LETTER_END.search(base):
+                ended.append((piece, base))
+                for part in (base, piece[len(base) :]):
+                    if part not in known:
+                        whole[part] = None
+            else:
+                whole[piece] = None
+        new = list(whole)
+        for at in range(0, len(new), 64):
+            part = new[at : at + 64]
+            known.update(zip(part, self._pieces(part), strict=True))
+        for piece, base in ended:
+            known[piece] = known[base] + known[piece[len(base) :]]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null is empty."""
-        cut = [None if t and OTHER_SPACE.search(t) else PIECES.findall(t or "") for t in texts]
         if len(self.known) > self.keep:
             self.known = {}
         known = self.known
-        new = list({p for pieces in cut if pieces for p in pieces if p not in known})
-        for at in range(0, len(new), 2048):
-            part = new[at : at + 2048]
-            known.update(zip(part, self._whole(part), strict=True))
-        return [
-            self._whole([t])[0] if pieces is None else b"".join([known[p] for p in pieces])
-            for t, pieces in zip(texts, cut, strict=True)
-        ]
+        cut: list[list[str] | None] = []
+        new: dict[str, None] = {}
+        for text in texts:
+            if not text:
+                cut.append([])
+                continue
+            if " ".join(text.split()) == text.replace("\n", " ") and "\0" not in text:  # single blanks only: the usual text
+                pieces = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+            elif OTHER_SPACE.search(text):
+                cut.append(None)
+                continue
+            else:
+                pieces = PIECES.findall(text)
+            cut.append(pieces)
+            new.update(dict.fromkeys([p for p in pieces if p not in known]))
+        if new:
+            self._learn(list(new))
+        return [self._whole(t) if pieces is None else b"".join([known[p] for p in pieces]) for t, pieces in zip(texts, cut, strict=True)]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str, keep: int = 400_000) -> Encoder:
+    """The encoder of this Python worker, which later tasks use again."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path, keep)
+    return _ENCODERS[path]
