@@ -31,7 +31,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Distinct word shingles of texts as sorted 64-bit hashes; equal shingles have equal hashes."""
 
-    def __init__(self, words: int, keep: int = 500_000):
+    def __init__(self, words: int, keep: int = 50_000):
         self.k, self.keep, self.known = words, keep, {}
 
     def _hashes(self, words: list[str]) -> np.ndarray:
@@ -272,7 +272,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, per_cent: int = 80, miss: f
     nodes = materialize(nodes, "nodes")
     buckets = nodes.select("node", F.explode("bands").alias("band"))
     shared = buckets.groupBy("band").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "first")
-    star = buckets.join(shared, "band").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    # A node links to the least of the first nodes of its buckets, and the others to that one: about one link a node.
+    firsts = buckets.join(shared, "band").groupBy("node").agg(F.min("first").alias("least"), F.collect_set("first").alias("firsts"))
+    star = firsts.select(F.col("least").alias("a"), F.explode(F.array_union(F.array("node"), "firsts")).alias("b")).where("a <> b").distinct()
     clusters = components(star)
 
     # A node's block is a hash of it, so no task numbers a whole cluster.

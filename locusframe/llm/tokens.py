@@ -34,6 +34,8 @@ class Encoder:
         self.plain.encode_special_tokens = True
         self.cutting = Tokenizer.from_file(path)
         self.between = self.cutting.token_to_id(BETWEEN)
+        #: Whether blanks before a word leave its ids as they are; then words are the pieces.
+        self.drops_blanks = len({self._whole(x) for x in ("a", " a", "\na", " \n a")}) == 1
         self.known: dict[str, bytes] = {}
         self.keep = keep
 
@@ -83,7 +85,7 @@ class Encoder:
                 cut.append([])
                 continue
             if " ".join(text.split()) == text.replace("\n", " ") and "\0" not in text:  # single blanks only: the usual text
-                pieces = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+                pieces = text.split() if self.drops_blanks else text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
             elif OTHER_SPACE.search(text):
                 cut.append(None)
                 continue

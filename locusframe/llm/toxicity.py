@@ -32,7 +32,7 @@ LEAST = 10
 class Hasher:
     """Word hashes of a text, remembered up to a fixed number of words."""
 
-    def __init__(self, keep: int = 300_000):
+    def __init__(self, keep: int = 50_000):
         self.keep, self.known = keep, {}
 
     def __call__(self, text: str | None) -> np.ndarray:
