@@ -210,8 +210,8 @@ def segregating(variants: DataFrame) -> DataFrame:
 
 
 def polymorphic(variants: DataFrame) -> DataFrame:
-    """Drop the sites at which no output genotype carries a derived allele."""
-    return variants.where(F.exists("gts", lambda g: g.rlike("[1-9]")))
+    """Drop the sites at which no output genotype carries a derived allele; other fields of a call do not count."""
+    return variants.where(F.exists(_haplotypes(F.col("gts")), _carries))
 
 
 def mutation_list(variants: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,6 +46,34 @@ def shared_folder(spark: SparkSession) -> str:
     return made
 
 
+_OPEN: list[list[str]] = []
+
+
+def _new_folder(spark: SparkSession, label: str) -> str:
+    path = f"{shared_folder(spark)}/locusframe/{label}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove, at the end of the block, the tables that were written in it to the shared folder.
+
+    A DataFrame made in the block reads those tables, so store or collect it there::
+
+        with scratch(spark):
+            merge_segments(df).write.parquet(out)
+    """
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder once and read it back.
 
@@ -53,7 +83,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     under ``spark.sql.autoBroadcastJoinThreshold`` and shuffles it beyond.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/locusframe/{label}-{uuid.uuid4().hex}"
+    path = _new_folder(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -67,7 +97,7 @@ class Ledger:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        self.root = f"{shared_folder(spark)}/locusframe/{label}-{uuid.uuid4().hex}"
+        self.root = _new_folder(spark, label)
         self.paths: list[str] = []
         self.schema = None
 

@@ -46,7 +46,7 @@ def read_fasta(
     rows = rows.withColumn("n", F.when(is_head, 0).otherwise(F.length("value")).cast("bigint"))
     rows = with_running_sum(rows, ["file"], "block", ["line_no"], "n", "upto")
     rows = rows.withColumn(
-        "head", F.when(is_head, F.struct(F.substring("value", 2, 1_000_000).alias("header"), F.col("upto").alias("base")))
+        "head", F.when(is_head, F.struct(F.col("value").substr(F.lit(2), F.length("value")).alias("header"), F.col("upto").alias("base")))
     )
     placed = with_running_last(rows, ["file"], "block", ["line_no"], {"head": "own"}).where(~is_head & F.col("own").isNotNull())
     pieces = placed.select(

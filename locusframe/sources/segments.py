@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from locusframe.operators.ordered import with_running_last
-from locusframe.sources.text import Paths, blank_or_comment, lines, numbered_lines, tokens, write_sorted
+from locusframe.sources.text import Paths, blank_or_comment, numbered_lines, tokens, write_sorted
 
 FOUNDERS_PREFIX = "# Founders:"
 SEGMENT = r"^\s*([0-9.eE+-]+)\s+([0-9.eE+-]+)\s+(\S+)"
 
 
 def read_founders(spark: SparkSession, path: Paths) -> DataFrame:
-    """(founder, ord) from the founders line."""
-    listed = lines(spark, path).where(F.col("value").startswith(FOUNDERS_PREFIX)).limit(1)
+    """(founder, ord) from the founders lines, the first one of each file.
+
+    The lists of several files follow each other in file order; a founder has
+    the place where it is first named. The lists are header lines, so numbering
+    them orders a small table.
+    """
+    named = numbered_lines(spark, path, F.col("value").startswith(FOUNDERS_PREFIX))
+    heads = named.groupBy("file").agg(F.min_by("value", "line_no").alias("value"))
     names = tokens(F.substring_index("value", FOUNDERS_PREFIX, -1))
-    return listed.select(F.posexplode(names).alias("ord", "founder")).select("founder", "ord")
+    listed = heads.select("file", F.posexplode(names).alias("at", "founder"))
+    first = listed.groupBy("founder").agg(F.min(F.struct("file", "at")).alias("place"))
+    return first.select("founder", (F.row_number().over(Window.orderBy("place")) - 1).alias("ord"))
 
 
 def read_segments(spark: SparkSession, path: Paths) -> DataFrame:

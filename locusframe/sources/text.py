@@ -12,11 +12,12 @@ Paths = str | list[str]
 
 
 def logical_file(path: Column) -> Column:
-    """The path, or for a part file the folder it belongs to.
+    """The path, or for a part file that Spark wrote the folder it belongs to.
 
-    Part files of one folder, in name order, are one text.
+    Part files of one folder, in name order, are one text. Other files whose
+    names begin with ``part-`` stay files of their own.
     """
-    return F.regexp_replace(path, r"/part-[^/]*$", "")
+    return F.regexp_replace(path, r"/part-\d{5}-[0-9a-f]{8}-[^/]*$", "")
 
 
 def lines(spark: SparkSession, path: Paths) -> DataFrame:
