@@ -89,4 +89,35 @@ QUERIES = {
         op10_url_filter,
     )
 }
-ORACLES: dict[str, str] = {}
+#: Verdicts do not depend on the order of the rules, so SQL can give op3 whole; the
+#: others need hashes, models, tokens or positions of matches and are tested by brute force.
+ORACLES: dict[str, str] = {
+    "op3_quality_rules": r"""
+WITH f AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM documents
+), windows AS (
+  SELECT r, i, array_to_string(w[i:i+7], ' ') AS x FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM f)
+), again AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, x) AS c FROM windows) WHERE c > 1
+), covered AS (
+  SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS p FROM again) GROUP BY r
+), counted AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
+         CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, len(l) AS n_lines,
+         length(regexp_replace(t, '[^0-9]', '', 'g')) AS n_digits,
+         length(regexp_replace(t, '[^\p{Lu}]', '', 'g')) AS n_upper
+  FROM f LEFT JOIN covered USING (r)
+), judged AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND word_chars BETWEEN 2 * n_words AND 15 * n_words AND 5 * n_symbols <= n_words
+       AND 5 * n_dup_lines <= 3 * greatest(1, n_lines) AND 2 * n_digits <= word_chars AND 2 * n_upper <= word_chars AS kept
+FROM judged""",
+}

@@ -28,3 +28,12 @@ def test_stages(spark, tmp_path):
             assert kept.count() == docs_before.count() and not [r for r in kept.collect() if "AKIA" in r.text]
         if name == "packing":
             assert {r.doc_id for r in kept.select("doc_id").collect()} == {r.doc_id for r in docs_before.select("doc_id").collect()}
+
+
+def test_oracles(spark):
+    from locusframe.llm.queries import ORACLES
+    from oracle_check import compare, duck
+
+    for name, sql in ORACLES.items():
+        count, problem = compare(spark, duck(SF_DIR), name, QUERIES[name], sql, SF_DIR)
+        assert problem is None and count > 0
