@@ -70,7 +70,7 @@ def write_store(docs: DataFrame, root: str, tokenizer: str, end_id: int = 1, id_
     def shards(batches):
         from locusframe.llm.tokens import encoder as encoder_of
 
-        encoder = encoder_of(tokenizer, keep=800_000)
+        encoder = encoder_of(tokenizer)
         number = TaskContext.get().partitionId()
         end = np.array([end_id], dtype=kind).tobytes()
         rows = {"doc_id": [], "copy": [], "offset": [], "n_tokens": []}
