@@ -80,6 +80,45 @@ def _segments(s, d):
     return SG.read_segments(s, path)
 
 
+def _two_files(s, d):
+    """Two files of one base name, written and read back."""
+    named = lambda df: df.drop("file_id").withColumn("file_id", F.explode(F.array(F.lit("x/d.vcf"), F.lit("y/d.vcf"))))
+    path = _folder(s, "vcf")
+    cohort = VariantSet(named(A.phased_variants(s, d)), named(A.panel_samples(s, d)), named(A.contigs(s, d)))
+    VC.write_vcf(cohort, path)
+    again = VC.read_vcf(s, [f"{path}/file_id=d.vcf", f"{path}/file_id=d.vcf-2"]).variants
+    return again.select(F.regexp_extract("file_id", "file_id=(.*)$", 1).alias("file"), "chrom", "pos", "ref", "alt")
+
+
+def _vcf_rejects(s, d):
+    """Records of which some have no whole number as position."""
+    pos = F.when(F.col("pos") % 7 == 0, "NA").otherwise(F.col("pos").cast("string"))
+    path = _lines(s, A.variants(s, d).select(F.concat_ws("\t", "chrom", pos, "ref", "alt").alias("value")), "vcf")
+    return VC.vcf_rejects(s, path).groupBy("value", "n_columns").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+def _segment_rejects(s, d):
+    """A good file beside one whose lines lack a bound."""
+    path = _folder(s, "segments")
+    SG.write_segments(A.segments(s, d), A.founders(s, d), path)
+    broken = _lines(s, A.segments(s, d).select(F.concat(F.lit("0.5 "), "founder").alias("value")), "segments")
+    return SG.segment_rejects(s, [path, broken]).groupBy("value").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+def _region_rejects(s, d):
+    end = F.when(F.col("region_id") % 5 == 0, "far").otherwise(F.col("end").cast("string"))
+    path = _lines(s, A.target_regions(s, d).select(F.concat_ws(" ", F.lit("0.5"), end).alias("value")), "regions")
+    return GT.target_region_rejects(s, path).groupBy("value").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+def _founders_of_files(s, d):
+    """The founder lists of two segment files."""
+    path = _folder(s, "segments")
+    SG.write_segments(A.segments(s, d), A.founders(s, d), f"{path}/1")
+    SG.write_segments(A.segments(s, d), A.founders(s, d).withColumn("founder", F.concat(F.lit("M"), "founder")), f"{path}/2")
+    return SG.read_founders(s, [f"{path}/1", f"{path}/2"])
+
+
 def _fasta(s, d):
     path = _folder(s, "fasta")
     FA.write_fasta(A.haplotype_chunks(s, d), path, name="founder")
@@ -123,7 +162,12 @@ QUERIES = {
     "read_vcf": lambda s, d: _cohort(s, d).variants.select("chrom", "pos", "ref", "alt", "info", F.array_join("gts", " ").alias("gts")),
     "read_vcf_samples": _vcf_samples,
     "read_vcf_contigs": lambda s, d: _cohort(s, d).contigs.select("chrom", "length"),
+    "read_vcf_rejects": _vcf_rejects,
+    "write_vcf_two_files": _two_files,
     "read_segments": _segments,
+    "read_segments_rejects": _segment_rejects,
+    "read_founders_many_files": _founders_of_files,
+    "read_target_regions_rejects": _region_rejects,
     "read_fasta": lambda s, d: _fasta(s, d)[1],
     "read_fasta_lengths": lambda s, d: _fasta(s, d)[0],
     "read_target_regions": _regions,
@@ -157,7 +201,26 @@ FROM phased p JOIN variants v ON v.chrom = p.chrom AND v.pos = p.pos GROUP BY AL
     ),
     "read_vcf_samples": ([], "SELECT n_nationkey AS sample_idx, 'N' || n_nationkey AS sample_id FROM nation"),
     "read_vcf_contigs": (["contigs"], "SELECT chrom, length FROM contigs"),
+    "read_vcf_rejects": (
+        ["variants"],
+        """
+SELECT chrom || chr(9) || 'NA' || chr(9) || ref || chr(9) || alt AS value, 4 AS n_columns, count(*) AS n_lines
+FROM variants WHERE pos % 7 = 0 GROUP BY ALL""",
+    ),
+    "write_vcf_two_files": (
+        ["phased"],
+        """
+SELECT file, chrom, pos, ref, alt FROM (SELECT chrom, pos, ref, alt FROM phased GROUP BY ALL), (VALUES ('d.vcf'), ('d.vcf-2')) AS f(file)""",
+    ),
     "read_segments": (["segments"], "SELECT * FROM segments"),
+    "read_segments_rejects": (["segments"], "SELECT '0.5 ' || founder AS value, count(*) AS n_lines FROM segments GROUP BY ALL"),
+    "read_founders_many_files": (
+        ["founders"],
+        "SELECT founder, ord FROM founders UNION ALL SELECT 'M' || founder, CAST(ord + (SELECT count(*) FROM founders) AS INTEGER) FROM founders",
+    ),
+    "read_target_regions_rejects": (
+        ["target_regions"], "SELECT '0.5 far' AS value, count(*) AS n_lines FROM target_regions WHERE region_id % 5 = 0",
+    ),
     "read_fasta": (["haplotype_chunks"], "SELECT * FROM haplotype_chunks"),
     "read_fasta_lengths": (
         ["haplotype_chunks"],

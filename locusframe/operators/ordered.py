@@ -24,26 +24,28 @@ def bucket_hot_groups(
 ) -> DataFrame:
     """Add a bucket number that follows the numeric column ``order``.
 
-    Groups of at most ``rows`` rows get the single bucket 0.  A larger group is
-    cut into ceil(size / rows) equal-width ranges between its own minimum and
-    maximum.  At most (table rows / ``rows``) groups can be that large.
+    Groups of at most ``rows`` rows get the single bucket 0.  Larger groups are
+    cut at quantiles, so buckets hold about as many rows whatever the values
+    look like; only equal values stay together.  The number of cuts follows
+    from the largest group and at most (table rows / ``rows``) groups are cut,
+    so the cut points are a small table.  A row finds its bucket among them by
+    halving steps.
     """
     value = F.col(order).cast("double")
-    hot = (
-        df.groupBy(*group)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-        .where((F.col("_n") > rows) & (F.col("_hi") > F.col("_lo")))
-        .select(
-            *group,
-            "_lo",
-            "_hi",
-            F.ceil(F.col("_n") / F.lit(rows)).alias("_parts"),
-        )
-    )
-    hot = materialize(hot, "hot-groups")
-    part = F.floor((value - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.col("_parts"))
-    part = F.least(part, F.col("_parts") - 1).cast("bigint")
-    return df.join(hot, list(group), "left").withColumn(name, F.coalesce(part, F.lit(0).cast("bigint"))).drop("_lo", "_hi", "_parts")
+    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows)
+    sizes = materialize(sizes, "hot-groups")
+    largest = sizes.agg(F.max("_n")).first()[0]
+    if largest is None:
+        return df.withColumn(name, F.lit(0).cast("bigint"))
+    parts = -(-largest // rows)
+    shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    hot = df.join(sizes.select(*group), list(group), "left_semi").groupBy(*group)
+    cuts = materialize(hot.agg(F.percentile_approx(value, shares, F.lit(100 * parts)).alias("_cuts")), "hot-cuts")
+    halves = F.array(*[F.lit(1 << i) for i in reversed(range((parts - 1).bit_length()))])
+    # get() is null beyond the last cut, and no step is taken there.
+    step = lambda at, by: F.when(F.get("_cuts", at + by - 1) <= value, at + by).otherwise(at)
+    bucket = F.when(F.col("_cuts").isNotNull(), F.aggregate(halves, F.lit(0), step)).otherwise(0)
+    return df.join(cuts, list(group), "left").withColumn(name, bucket.cast("bigint")).drop("_cuts")
 
 
 def bucket_offsets(

@@ -42,10 +42,10 @@ def sample_vcf(
     The selected markers are written once, so the records are joined with a
     table of known size and the contig list reuses it.
     """
+    cohort = replace(cohort, variants=M.filter_region(cohort.variants, region))
     if k is None:
-        inside = replace(cohort, variants=M.filter_region(cohort.variants, region))
-        return _narrow(inside, None, ids)
-    markers = M.filter_region(cohort.variants, region).select("chrom", "pos")
+        return _narrow(cohort, None, ids)
+    markers = cohort.variants.select("chrom", "pos")
     picked = materialize(M.pick_markers(markers, k, method, seed, count_records=True), "picked-markers")
     out = _narrow(cohort, picked, ids)
     if cohort.contigs is not None:
@@ -63,7 +63,8 @@ def sample_vcfs_shared(
     seed: int = 0,
 ) -> VariantSet:
     """Subsample several files at the same markers, chosen among the shared ones."""
-    inside = M.filter_region(cohort.variants, region).select("file_id", "chrom", "pos")
+    cohort = replace(cohort, variants=M.filter_region(cohort.variants, region))
+    inside = cohort.variants.select("file_id", "chrom", "pos")
     shared = M.shared_markers(inside, n_files)
     picked = materialize(M.pick_markers(shared, k, method, seed), "picked-markers")
     if picked.isEmpty():

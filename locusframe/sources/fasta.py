@@ -31,13 +31,17 @@ def _owner(header: Column) -> tuple[Column, Column, Column]:
 
 
 def read_fasta(
-    spark: SparkSession, path: Paths, founders: DataFrame, chunk_bases: int = CHUNK_BASES
+    spark: SparkSession, path: Paths, founders: DataFrame, chunk_bases: int = CHUNK_BASES, chrom: Column | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(haplotypes, chunks) of the founders' sequences.
 
     Every line is placed by its own task: the header above it and its offset in
     the sequence come from per-split carries, so a sequence is never gathered.
     A ``sampleN`` beyond the founder list is left out.
+
+    ``chrom`` tells the chromosome of a sequence from its columns ``file`` and
+    ``header``; with it, both results carry ``chrom``.  One founder haplotype
+    under two headers of a chromosome is an error, in one file or in several.
     """
     rows = numbered_lines(spark, path, ~F.col("value").rlike(r"^\s*(#|$)")).withColumn(
         "value", F.regexp_replace("value", r"\s+$", "")
@@ -50,6 +54,8 @@ def read_fasta(
     )
     placed = with_running_last(rows, ["file"], "block", ["line_no"], {"head": "own"}).where(~is_head & F.col("own").isNotNull())
     pieces = placed.select(
+        "file",
+        F.col("own.base").alias("base"),
         F.col("own.header").alias("header"),
         (F.col("upto") - F.col("n") - F.col("own.base")).alias("offset"),
         "n",
@@ -68,13 +74,21 @@ def read_fasta(
     begin = F.greatest(F.col("chunk_no") * chunk_bases, F.col("offset"))
     stop = F.least((F.col("chunk_no") + 1) * chunk_bases, F.col("offset") + F.col("n"))
     part = F.substring("value", (begin - F.col("offset") + 1).cast("int"), (stop - begin).cast("int"))
+    place = [] if chrom is None else ["chrom"]
+    if chrom is not None:
+        cut = cut.withColumn("chrom", chrom.cast("int"))
+    names = [*place, "founder", "homolog"]
     chunks = (
-        cut.groupBy("founder", "homolog", "chunk_no")
+        cut.groupBy("file", "base", *names, "chunk_no")
         .agg(F.array_sort(F.collect_list(F.struct(begin.alias("at"), part.alias("bases")))).alias("parts"))
-        .select("founder", "homolog", "chunk_no", F.array_join(F.transform("parts", lambda p: p["bases"]), "").alias("bases"))
+        .select("file", "base", *names, "chunk_no", F.array_join(F.transform("parts", lambda p: p["bases"]), "").alias("bases"))
     )
-    chunks = materialize(chunks, "haplotype-chunks")
-    haplotypes = chunks.groupBy("founder", "homolog").agg(F.sum(F.length("bases")).alias("seq_len"))
+    stored = materialize(chunks, "haplotype-chunks")
+    twice = stored.where("chunk_no = 0").groupBy(*names).count().where("count > 1").first()
+    if twice is not None:
+        raise ValueError(f"more than one sequence of {', '.join(str(twice[n]) for n in names)}")
+    chunks = stored.drop("file", "base")
+    haplotypes = chunks.groupBy(*names).agg(F.sum(F.length("bases")).alias("seq_len"))
     return haplotypes, chunks
 
 

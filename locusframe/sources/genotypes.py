@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusframe.sources.text import Paths, blank_or_comment, lines, numbered_lines, tokens
@@ -53,11 +53,18 @@ def read_pop_map(spark: SparkSession, path: Paths) -> DataFrame:
     )
 
 
+def _bound(i: int) -> Column:
+    return F.get(tokens(F.col("value")), F.lit(i)).try_cast("double")
+
+
+def target_region_rejects(spark: SparkSession, path: Paths) -> DataFrame:
+    """(file, value) of the lines that ``read_target_regions`` cannot read; comments and blank lines are none."""
+    return lines(spark, path).where(~blank_or_comment(F.col("value")) & (_bound(0).isNull() | _bound(1).isNull())).select("file", "value")
+
+
 def read_target_regions(spark: SparkSession, path: Paths) -> DataFrame:
-    """(region_id, start, end) on the 0-1 scale; comments, blank and unreadable lines are skipped."""
-    t = tokens(F.col("value"))
-    number = lambda i: F.get(t, F.lit(i)).try_cast("double")
-    keep = ~blank_or_comment(F.col("value")) & number(0).isNotNull() & number(1).isNotNull()
+    """(region_id, start, end) on the 0-1 scale; comments and blank lines are skipped, unreadable ones are rejects."""
+    keep = ~blank_or_comment(F.col("value")) & _bound(0).isNotNull() & _bound(1).isNotNull()
     return numbered_lines(spark, path, keep).select(
-        F.col("line_no").alias("region_id"), number(0).alias("start"), number(1).alias("end")
+        F.col("line_no").alias("region_id"), _bound(0).alias("start"), _bound(1).alias("end")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from locusframe.operators.ordered import with_running_last
@@ -34,6 +34,39 @@ def read_segments(spark: SparkSession, path: Paths) -> DataFrame:
     above it, carried across file splits, so neither a file nor an individual
     is gathered.  Segments before any chromosome heading belong to chromosome 1.
     """
+    placed, homolog_here, chrom_here = _under_headings(spark, path)
+    field = lambda n: F.regexp_extract("value", SEGMENT, n)
+    origin = field(3)
+    return placed.where(homolog_here & _readable()).select(
+        F.col("ind.is").alias("ind"),
+        F.when(chrom_here, F.col("chrom.is")).otherwise(1).alias("chrom"),
+        F.col("homolog.is").alias("homolog"),
+        (F.col("line_no") - F.col("homolog.line_no")).cast("int").alias("seq"),
+        field(1).try_cast("double").alias("start"),
+        field(2).try_cast("double").alias("end"),
+        F.substring_index(origin, ":", 1).alias("founder"),
+        F.when(F.substring_index(origin, ":", -1) == "mat", 1).otherwise(0).alias("f_homolog"),
+    )
+
+
+def segment_rejects(spark: SparkSession, path: Paths) -> DataFrame:
+    """(file, value) of the lines that ``read_segments`` leaves out.
+
+    These are lines that are neither heading nor segment, segments whose bounds
+    are no numbers, and segments that stand under no individual and homolog.
+    """
+    placed, homolog_here, _ = _under_headings(spark, path)
+    heading = F.col("value").rlike(r"^Individual:|^\s*(Chromosome|Paternal|Maternal):")
+    return placed.where(~heading & ~(F.coalesce(homolog_here, F.lit(False)) & _readable())).select("file", "value")
+
+
+def _readable() -> Column:
+    bound = lambda n: F.regexp_extract("value", SEGMENT, n).try_cast("double").isNotNull()
+    return F.col("value").rlike(SEGMENT) & bound(1) & bound(2)
+
+
+def _under_headings(spark: SparkSession, path: Paths) -> tuple[DataFrame, Column, Column]:
+    """Lines with the headings above them; whether a homolog and a chromosome heading hold for a line."""
     value = F.col("value")
     rows = numbered_lines(spark, path, ~blank_or_comment(value))
     heading = lambda pattern, what: F.when(value.rlike(pattern), F.struct("line_no", what.alias("is")))
@@ -48,18 +81,7 @@ def read_segments(spark: SparkSession, path: Paths) -> DataFrame:
     placed = with_running_last(marked, ["file"], "block", ["line_no"], {"i": "ind", "c": "chrom", "h": "homolog"})
     chrom_here = F.coalesce(F.col("chrom.line_no") > F.col("ind.line_no"), F.lit(False))
     homolog_here = F.col("homolog.line_no") > F.when(chrom_here, F.col("chrom.line_no")).otherwise(F.col("ind.line_no"))
-    field = lambda n: F.regexp_extract("value", SEGMENT, n)
-    origin = field(3)
-    return placed.where(homolog_here & value.rlike(SEGMENT)).select(
-        F.col("ind.is").alias("ind"),
-        F.when(chrom_here, F.col("chrom.is")).otherwise(1).alias("chrom"),
-        F.col("homolog.is").alias("homolog"),
-        (F.col("line_no") - F.col("homolog.line_no")).cast("int").alias("seq"),
-        field(1).try_cast("double").alias("start"),
-        field(2).try_cast("double").alias("end"),
-        F.substring_index(origin, ":", 1).alias("founder"),
-        F.when(F.substring_index(origin, ":", -1) == "mat", 1).otherwise(0).alias("f_homolog"),
-    )
+    return placed, homolog_here, chrom_here
 
 
 def write_segments(segments: DataFrame, founders: DataFrame, path: str) -> None:

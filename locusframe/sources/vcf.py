@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -72,6 +74,17 @@ def read_vcf(spark: SparkSession, paths: Paths) -> VariantSet:
     return VariantSet(variants, samples, contigs, meta)
 
 
+def vcf_rejects(spark: SparkSession, paths: Paths) -> DataFrame:
+    """(file_id, value, n_columns) of the record lines that ``read_vcf`` leaves out.
+
+    They have no whole number as position; blank lines are no records.
+    """
+    value = F.col("value")
+    pos = F.substring_index(F.substring_index("value", "\t", 2), "\t", -1).try_cast("bigint")
+    records = lines(spark, paths).where(~value.startswith("#") & value.rlike(r"\S"))
+    return records.where(pos.isNull()).select(F.col("file").alias("file_id"), "value", F.size(F.split("value", "\t")).alias("n_columns"))
+
+
 def vcf_rows(cohort: VariantSet) -> DataFrame:
     """(file_id, section, line_no, chrom, pos, value): every line of the output.
 
@@ -123,8 +136,20 @@ def vcf_rows(cohort: VariantSet) -> DataFrame:
 
 
 def write_vcf(cohort: VariantSet, path: str) -> None:
-    """One folder per file; its part files in name order are the whole VCF."""
-    write_sorted(
-        vcf_rows(cohort).withColumn("file_id", F.regexp_extract("file_id", r"(?:^|[/=])([^/=]*)$", 1)),
-        path, ["section", "line_no", "chrom", "pos"], partition="file_id",
+    """One folder per file; its part files in name order are the whole VCF.
+
+    The folder has the base name of the file. Where files share a base name,
+    the second and later ones, in order of their ids, add ``-2``, ``-3`` and so on.
+    """
+    same_name = Window.partitionBy("name").orderBy("file_id")
+    tables = [t.select("file_id") for t in (cohort.samples, cohort.meta, cohort.contigs) if t is not None]
+    base_name = F.regexp_extract("file_id", r"(?:^|[/=])([^/=]*)$", 1)
+    files = (
+        reduce(DataFrame.unionByName, tables).distinct()
+        .withColumn("name", base_name)
+        .withColumn("nth", F.row_number().over(same_name))
+        .select("file_id", F.when(F.col("nth") == 1, F.col("name")).otherwise(F.concat_ws("-", "name", "nth")).alias("folder"))
     )
+    named = vcf_rows(cohort).join(materialize(files, "vcf-files"), "file_id", "left")
+    named = named.withColumn("file_id", F.coalesce("folder", base_name)).drop("folder")
+    write_sorted(named, path, ["section", "line_no", "chrom", "pos"], partition="file_id")

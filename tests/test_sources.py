@@ -195,6 +195,39 @@ def test_fasta(spark, text_file, tmp_path, tiny_splits):
     assert f">f0:mat\n{wrap(seqs['f0:mat'], 80)}\n" in out and max(map(len, out.splitlines())) == 80
 
 
+def test_fasta_of_several_chromosomes(spark, text_file):
+    one, two = text_file("c1.fa", ">f0:pat\nAAAAAAAA\n"), text_file("c2.fa", ">f0:pat\nCCCC\n")
+    founders = spark.createDataFrame([("f0", 0)], FOUNDERS)
+    number = F.regexp_extract("file", r"c(\d+)\.fa$", 1)
+    haps, chunks = fasta.read_fasta(spark, [one, two], founders, chunk_bases=80, chrom=number)
+    assert rows(chunks, "chrom", "founder", "bases") == [(1, "f0", "AAAAAAAA"), (2, "f0", "CCCC")]
+    assert rows(haps, "chrom", "seq_len") == [(1, 8), (2, 4)]
+    with pytest.raises(ValueError, match="more than one sequence"):
+        fasta.read_fasta(spark, [one, two], founders, chunk_bases=80)
+    with pytest.raises(ValueError, match="more than one sequence"):
+        fasta.read_fasta(spark, text_file("twice.fa", ">f0:pat\nAC\n>f0:pat\nGT\n"), founders, chunk_bases=80)
+
+
+def test_rejects(spark, text_file):
+    body = "Individual: a\n  Chromosome: 1\n    Paternal:\n0.0 0.5 F:pat\n0.5 oops\n.. 1.0 F:pat\nIndividual: b\n0.0 1.0 F:mat\n# note\n"
+    path = text_file("seg.txt", body)
+    assert [r[0] for r in rows(segments.read_segments(spark, path), "founder")] == ["F"]
+    assert rows(segments.segment_rejects(spark, path), "value") == sorted([("0.5 oops",), (".. 1.0 F:pat",), ("0.0 1.0 F:mat",)], key=repr)
+    lost = text_file("bad.vcf", "#CHROM\tPOS\nchr1\tNA\tx\nchr1\t5\tx\n\nchr1\n")
+    assert rows(vcf.vcf_rejects(spark, lost), "value", "n_columns") == sorted([("chr1\tNA\tx", 3), ("chr1", 1)], key=repr)
+    regions = text_file("regions", "# c\n0.1 0.2\n\nbad line\n0.5\n")
+    assert rows(genotypes.target_region_rejects(spark, regions), "value") == sorted([("bad line",), ("0.5",)], key=repr)
+
+
+def test_vcf_files_of_one_base_name_stay_apart(spark, text_file, tmp_path):
+    for folder in ("x", "y"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "d.vcf").write_text(VCF)
+    vcf.write_vcf(vcf.read_vcf(spark, [str(tmp_path / "x" / "d.vcf"), str(tmp_path / "y" / "d.vcf")]), str(tmp_path / "out"))
+    for folder in ("file_id=d.vcf", "file_id=d.vcf-2"):
+        assert read_back(tmp_path / "out" / folder).count("#CHROM") == 1
+
+
 def test_trees_and_logs(spark, text_file, tmp_path):
     tree_path = text_file("t.txt", "# trees\n((1:1,2:1):1,3:2);\n\n(1:1,2:1);\n")
     interval_path = text_file("i.txt", "x [0.0,0.25] y\nnothing\n[0.25,1.0]\n")
