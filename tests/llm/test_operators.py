@@ -95,6 +95,20 @@ def whole_ids(path, end):
     return lambda text: np.array([*t.encode(text or "", add_special_tokens=False).ids, end], dtype="<u4")
 
 
+@pytest.mark.parametrize("path", [WORD_BPE, BYTE_BPE])
+def test_pieces_give_the_ids_of_whole_texts(path):
+    from locusframe.llm.tokens import Encoder
+
+    signs = [*"abZéßÑÿ×÷ªº²12'’s_|<>%#,.!?-日еЖİςΣÅﬁ", "\u0301", "\x00", "\x1c", "don't", "I'll", "<|endoftext|>", " ", " ", " ", "  ", "\n", "\n\n", "\t"]
+    rng = np.random.default_rng(2)
+    texts = ["".join(rng.choice(signs, rng.integers(0, 40))) for _ in range(4000)] + [t for _, t in TEXTS] + ["a" * 30000, " ", "\nword", "word\n"]
+    one, whole = Encoder(path, keep=2000), whole_ids(path, 0)
+    assert one.direct
+    for at in range(0, len(texts), 100):
+        part = texts[at : at + 100]
+        assert one.encode(part) == [whole(t)[:-1].tobytes() for t in part]
+
+
 def test_token_store_round_trip(docs, tmp_path):
     ids = whole_ids(WORD_BPE, 1)
     order = sorted(TEXTS, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or ""))
