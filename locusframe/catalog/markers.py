@@ -39,12 +39,18 @@ def _sample_one(s, d):
     return _wide(out.variants)
 
 
-def _sample_shared(s, d):
+def _sample_shared(s, d, region=None):
     cohort = P.VariantSet(A.three_files(s, d), A.panel_samples(s, d), A.contigs(s, d))
-    out = P.sample_vcfs_shared(cohort, n_files=3, k=K, method="uniform", region="chr2:100")
+    out = P.sample_vcfs_shared(cohort, n_files=3, k=K, method="uniform", region=region)
     return out.variants.select("file_id", "chrom", "pos", F.array_join("gts", " ").alias("gts"))
 
 
+def _polymorphic_with_depth(s, d):
+    """Calls that carry a depth; the depth is no allele."""
+    deep = F.transform("gts", lambda g: F.concat(g, F.lit(":12")))
+    return _wide(M.polymorphic(A.variants_repeated(s, d).withColumn("gts", deep)))
+
+
 def _pop_map(s, d):
     return A.table(s, d, "nation").select(
         F.col("n_nationkey").cast("bigint").alias("line_no"),
@@ -94,6 +100,7 @@ QUERIES = {
     "select_samples": _selected,
     "segregating_sites": lambda s, d: _wide(M.segregating(A.variants_repeated(s, d))),
     "polymorphic_sites": lambda s, d: _wide(M.polymorphic(A.variants_repeated(s, d))),
+    "polymorphic_sites_with_depth": _polymorphic_with_depth,
     "mutation_list": lambda s, d: M.mutation_list(A.variants(s, d)).withColumn(
         "carriers", F.array_join("carriers", " ")
     ),
@@ -102,7 +109,8 @@ QUERIES = {
     "union_relabelled": _two_chromosomes,
     "coordinates": _coordinates,
     "sample_vcf": _sample_one,
-    "sample_vcfs_shared": _sample_shared,
+    "sample_vcfs_shared": lambda s, d: _sample_shared(s, d, "chr2:100"),
+    "sample_vcfs_shared_all": _sample_shared,
 }
 
 _UNIFORM = f"""
@@ -158,6 +166,12 @@ WHERE sample_idx IN (SELECT c_nationkey * 2 FROM customer) GROUP BY chrom, pos,
         ["variants_repeated"],
         "SELECT chrom, pos, ref, alt, array_to_string(gts, ' ') AS gts FROM variants_repeated WHERE list_contains(gts, '1')",
     ),
+    "polymorphic_sites_with_depth": (
+        ["variants_repeated"],
+        """
+SELECT chrom, pos, ref, alt, array_to_string(list_transform(gts, lambda g: g || ':12'), ' ') AS gts
+FROM variants_repeated WHERE list_contains(gts, '1')""",
+    ),
     "mutation_list": (
         ["variants"],
         """
@@ -205,6 +219,12 @@ SELECT chrom, pos, ref, alt, array_to_string(gts, ' ') AS gts FROM variants_repe
         f"""
 WITH src AS (SELECT chrom, pos FROM three_files WHERE chrom = 'chr2' AND pos >= 100
              GROUP BY chrom, pos HAVING count(DISTINCT file_id) = 3), {_UNIFORM}
+SELECT file_id, chrom, pos, array_to_string(gts, ' ') AS gts FROM three_files JOIN sel USING (chrom, pos)""",
+    ),
+    "sample_vcfs_shared_all": (
+        ["three_files"],
+        f"""
+WITH src AS (SELECT chrom, pos FROM three_files GROUP BY chrom, pos HAVING count(DISTINCT file_id) = 3), {_UNIFORM}
 SELECT file_id, chrom, pos, array_to_string(gts, ' ') AS gts FROM three_files JOIN sel USING (chrom, pos)""",
     ),
 }
