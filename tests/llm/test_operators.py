@@ -8,8 +8,9 @@ import zlib
 import numpy as np
 import pytest
 
-from locusframe.llm import minhash, mixing, packing, pii, quality, secret_links, syncmers, token_store, toxicity, url_filter
+from locusframe.llm import graph, minhash, mixing, packing, pii, quality, secret_links, syncmers, token_store, toxicity, url_filter
 from locusframe.llm.queries import TOKENIZERS, URL_RULES
+from locusframe.session import materialize
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WORD_BPE, BYTE_BPE = f"{TOKENIZERS}/word_bpe_49k.json", f"{TOKENIZERS}/byte_bpe_50k.json"
@@ -82,6 +83,16 @@ def test_large_cluster_takes_the_second_pass(spark):
     assert {r.doc_id: r.component_id for r in got} == {i: find(i) for i in range(600)}
 
 
+@pytest.mark.parametrize("n", [200, 2000])
+def test_components_of_long_chains(spark, monkeypatch, n):
+    rounds = []
+    monkeypatch.setattr(graph, "materialize", lambda df, label: rounds.append(label) or materialize(df, label))
+    names = np.random.default_rng(n).permutation(n).tolist()
+    links = spark.createDataFrame(list(zip(names, names[1:], strict=False)), "a long, b long")
+    got = {r.node: r.component for r in graph.components(links).collect()}
+    assert got == dict.fromkeys(range(n), 0) and len(rounds) < 25
+
+
 def test_prune_bounds_keep_true_pairs():
     for seen, least in minhash.prune_bounds(0.8, 1e-4):
         assert least < 0.8 * seen
