@@ -50,7 +50,7 @@ def _feistel(value: Column, a: Column, b: Column, key: str, label: str) -> Colum
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda acc: acc["l"] * b + acc["r"])
 
 
-def permuted_digits(digits: Column, key: str, label: str) -> Column:
+def permuted_digits(digits: Column, key: str, label: str | Column) -> Column:
     """Digits permuted among all strings of the same length (1 to 18)."""
     return let(digits, lambda d: _permuted_digits(d, key, label))
 
@@ -196,10 +196,15 @@ def kind_of(match: Column) -> Column:
 
 
 def _phone(match: Column, key: str) -> Column:
-    """The country code stays; all other digits are permuted together."""
+    """The country code stays; all other digits are permuted together, those beyond 16 as a second block keyed by the first."""
     code = F.regexp_extract(match, r"^\+\d{1,3}(?=[ .(-])", 0)
     rest = match.substr(F.length(code) + 1, F.length(match))
-    return F.concat(code, _refill(rest, permuted_digits(F.regexp_replace(rest, "[^0-9]", ""), key, "phone")))
+
+    def moved(digits: Column) -> Column:
+        first, last = digits.substr(F.lit(1), F.lit(16)), digits.substr(F.lit(17), F.lit(16))
+        return F.concat(permuted_digits(first, key, "phone"), F.when(F.length(last) > 0, permuted_digits(last, key, F.concat(F.lit("phone2|"), first))).otherwise(last))
+
+    return F.concat(code, _refill(rest, let(F.regexp_replace(rest, "[^0-9]", ""), moved)))
 
 
 def pseudonym(match: Column, key: str) -> Column:

@@ -208,6 +208,18 @@ def test_pseudonyms(spark):
     assert pii.pseudonymise(df.limit(0), "k").count() == 0
 
 
+def test_long_phones(spark):
+    rows = [(i, f"call +49 1234 5678 1234 5678 1234{i:02d} now") for i in range(30)]
+    rows += [(100 + n, "+" + "91234567890123456789123"[:n]) for n in range(19, 24)]
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows[:1] + rows[30:], "doc_id long, text string"), "k").collect()}
+    for i, t in rows[:1] + rows[30:]:
+        assert got[i].n_private == 1 and got[i].text != t and re.sub(r"\d", "0", got[i].text) == re.sub(r"\d", "0", t)
+    from pyspark.sql import functions as F
+
+    last = spark.createDataFrame([(f"+49 1234 5678 1234 5678 {i:03d}",) for i in range(1000)], "t string")
+    assert last.select(pii._phone(F.col("t"), "k").alias("p")).distinct().count() == 1000
+
+
 def test_feistel_is_a_permutation(spark):
     from pyspark.sql import functions as F
 
