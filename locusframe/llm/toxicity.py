@@ -12,11 +12,10 @@ from pyspark.sql.types import StructType
 
 from locusframe.llm.common import fold, slices
 from locusframe.llm.minhash import _mixed
+from locusframe.session import materialize
 
 #: Words for the models: runs of letters and digits, in lower case.
 TOKEN = re.compile(r"[^\W_]+")
-#: Table sizes. Counts of hashed words and pairs cover all labelled rows; their tables never grow.
-WORD_BITS, PAIR_BITS = 18, 20
 #: Words of a window whose mean log ratio is looked at beside that of the text.
 WINDOW = 16
 #: Standard errors in an absolute discount.
@@ -25,8 +24,9 @@ DISCOUNT = 3.0
 ALIKE = 3.0
 #: The most that one pair can say, so that a copied passage does not outweigh a text.
 MOST = 3.0
-#: A count of up to this is all discount, so it need not leave Spark.
-LEAST = 10
+#: Expressions with evidence that are broadcast; more of them are joined to the texts.
+BROADCAST_ROWS = 2_000_000
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Hasher:
@@ -54,94 +54,108 @@ def _before(h: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def _pairs(h: np.ndarray) -> np.ndarray:
-    """Each word with the one before it: 32 bits of the word, then 32 of a hash of both."""
-    both = _mixed(h + _mixed(_before(h, 1) + np.uint64(0x9E3779B97F4A7C15)))
-    return (h >> np.uint64(32) << np.uint64(32)) | (both >> np.uint64(32))
+def _pairs(h: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word with the one before it."""
+    return _mixed(h + _mixed(before + _GOLD))
 
 
-def _word_bucket(pair: np.ndarray) -> np.ndarray:
-    return (pair >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+def gather(documents) -> np.ndarray:
+    """Distinct rows (class, word two before, word before, word) of some documents."""
+    rows = [np.stack([np.full(len(h), label, dtype=np.uint64), _before(h, 2), _before(h, 1), h], axis=1) for label, h in documents]
+    rows = np.concatenate([np.zeros((0, 4), dtype=np.uint64), *rows])
+    if not len(rows):
+        return rows
+    rows = rows[np.lexsort(rows.T)]
+    return rows[np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])]
 
 
-def _pair_bucket(pair: np.ndarray) -> np.ndarray:
-    return ((pair & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - PAIR_BITS)).astype(np.int64)
+def count_expressions(rows: DataFrame) -> DataFrame:
+    """(before, word, n0, n1) of ``rows`` (toxic, text): distinct words before each pair, per class.
 
+    Distinct words are grouped before they are counted, so a hot pair is no hot key.
+    """
+
+    def expressions(batches):
+        hasher = Hasher()
+        for batch in batches:
+            for part in slices(batch, 512):
+                found = gather((y, hasher(t)) for y, t in zip(part.column("toxic").to_pylist(), part.column("text").to_pylist(), strict=True))
+                found = found.T.copy().view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["toxic", "far", "before", "word"])
 
-def gather(documents) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs of (class, word hashes) of some documents, each with a mask.
+    found = rows.select("toxic", "text").mapInArrow(expressions, "toxic bigint, far bigint, before bigint, word bigint")
+    kinds = found.groupBy("far", "before", "word").agg(F.max(1 - F.col("toxic")).alias("c0"), F.max("toxic").alias("c1"))
+    return kinds.groupBy("before", "word").agg(F.sum("c0").alias("n0"), F.sum("c1").alias("n1"))
 
-    A mask has 32 bits for each class, the toxic one above the ordinary one,
-    and one bit for each kind of word before the pair.
-    """
-    pairs, masks = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.uint64)]
-    for label, h in documents:
-        pairs.append(_pairs(h))
-        masks.append(np.uint64(1) << ((_mixed(_before(h, 2)) & np.uint64(31)) + np.uint64(32 * label)))
-    pair, mask = np.concatenate(pairs), np.concatenate(masks)
-    if not len(pair):
-        return pair, mask
-    order = np.argsort(pair, kind="stable")
-    pair = pair[order]
-    first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
-    return pair[first], np.bitwise_or.reduceat(mask[order], first)
-
-
-def _discounts(counts: np.ndarray) -> np.ndarray:
-    """What each class gives of a count to the shared backoff.
+
+def _split(table: DataFrame, scale: list[float]) -> DataFrame:
+    """``table`` with counts scaled (s0, s1) and divided into given (g0, g1) and kept (k0, k1) parts.
 
     The absolute discount of an expression is ALIKE times what both classes have
     of it and DISCOUNT standard errors. So a rare expression, or one that both
     use within that factor, gives its whole count in both classes.
     """
-    shared = ALIKE * counts.min(axis=0) + DISCOUNT * np.sqrt(counts.sum(axis=0)) + 1.0
-    return np.minimum(counts, shared)
+    table = table.withColumns({f"s{c}": F.col(f"n{c}") * scale[c] for c in (0, 1)})
+    shared = ALIKE * F.least("s0", "s1") + DISCOUNT * F.sqrt(F.col("s0") + F.col("s1")) + 1.0
+    table = table.withColumns({f"g{c}": F.least(F.col(f"s{c}"), shared) for c in (0, 1)})
+    return table.withColumns({f"k{c}": F.col(f"s{c}") - F.col(f"g{c}") for c in (0, 1)})
 
 
-class Model:
-    """Class probabilities by bucket, ready for scoring; a few megabytes whatever was counted.
+def learn_evidence(pairs: DataFrame) -> DataFrame:
+    """(word, before, ratio) of each word (null ``before``) and pair whose log ratio between the classes is not 0.
 
-    ``words`` holds, per class, the number of distinct words before a word: the
-    Kneser-Ney continuation count, which copies of a passage do not raise.
-    ``pairs`` holds the same for pairs. The larger class is scaled to the size of the smaller. Each class backs
-    off from pairs to words, and from words to one distribution, the pooled
-    discounts of both.
+    A word counts by the number of distinct words before it: the Kneser-Ney
+    continuation count, which copies of a passage do not raise. Pairs count in
+    the same way. The larger class is scaled to the size of the smaller. Each
+    class backs off from pairs to words, and from words to one distribution, the
+    pooled discounts of both. All counts are exact and stay tables keyed by the
+    words' hashes; only sums come to the driver.
     """
-
-    def __init__(self, words: np.ndarray, pairs: np.ndarray, totals: np.ndarray):
-        """``totals`` has, per table and class, the sum of all counts; those of up to LEAST in both classes may be left out."""
-        learned = totals[0].min() > 0
-        size = max(float(totals[0].min()), 1.0)
-        scaled = scaled_words = words * (size / np.maximum(totals[0], 1.0))[:, None]
-        given = _discounts(scaled) if learned else scaled
-        kept = scaled - given
-        mass = kept.sum(axis=1, keepdims=True)
-        shared = (given.sum(axis=0) + 0.5) / (2 * size - mass.sum() + 0.5 * words.shape[1])
-        back = np.maximum(1.0 - mass / size, 1e-9)
-        # Divided by the class's backoff weight: an expression that backs off in both classes has ratio 1.
-        self.word = kept / size / back + shared
-        self.ratio = np.log(self.word[1]) - np.log(self.word[0])
-        scale = (max(float(totals[1].min()), 1.0) / np.maximum(totals[1], 1.0))[:, None]
-        scaled = pairs * scale
-        self.pair = (scaled - _discounts(scaled) if learned else np.zeros(pairs.shape)).astype(np.float32)
-        self.context = scaled_words.astype(np.float32)
-        self.weights = np.zeros(4)
+    pairs = materialize(pairs, "pairs")
+    words = pairs.groupBy("word").agg(*(F.sum((F.col(f"n{c}") > 0).cast("long")).alias(f"n{c}") for c in (0, 1)))
+    words = materialize(words, "words")
+    sums = [t.agg(F.coalesce(F.sum("n0"), F.lit(0)), F.coalesce(F.sum("n1"), F.lit(0)), F.count(F.lit(1))).first() for t in (words, pairs)]
+    schema = "word bigint, before bigint, ratio double"
+    if min(sums[0][:2]) == 0:  # a class without words: nothing to compare
+        return pairs.sparkSession.createDataFrame([], schema)
+    size = float(min(sums[0][:2]))
+    words = _split(words, [size / x for x in sums[0][:2]])
+    mass = words.agg(F.sum("k0"), F.sum("k1")).first()
+    # Divided by the class's backoff weight: an expression that backs off in both classes has ratio 1.
+    shared = (F.col("g0") + F.col("g1") + 0.5) / (2 * size - sum(mass) + 0.5 * sums[0][2])
+    words = words.withColumns({f"p{c}": F.col(f"k{c}") / size / max(1.0 - mass[c] / size, 1e-9) + shared for c in (0, 1)})
+    alone = words.where("k0 > 0 OR k1 > 0").select("word", F.lit(None).cast("long").alias("before"), (F.log("p1") - F.log("p0")).alias("ratio"))
+
+    most = float(min(sums[1][:2]))
+    known = _split(pairs, [most / x for x in sums[1][:2]]).where("k0 > 0 OR k1 > 0").select("before", "word", "k0", "k1")
+    known = known.join(words.select("word", "p0", "p1"), "word")
+    known = known.join(words.select(F.col("word").alias("before"), (F.col("s0") + F.col("s1")).alias("context")), "before", "left")
+    share = [F.col(f"k{c}") / (F.coalesce("context", F.lit(0.0)) + F.col("k0") + F.col("k1") + 1.0) for c in (0, 1)]
+    p = [share[c] + (1.0 - share[c]) * F.col(f"p{c}") for c in (0, 1)]
+    ratio = F.greatest(F.lit(-MOST), F.least(F.lit(MOST), F.log(p[1]) - F.log(p[0])))
+    return materialize(alone.unionByName(known.select("word", "before", ratio.alias("ratio"))), "evidence")
+
+
+class Evidence:
+    """Log ratios of some words and pairs, looked up by full hashes."""
+
+    def __init__(self, word: np.ndarray, before: np.ndarray, paired: np.ndarray, ratio: np.ndarray):
+        """``paired`` tells which rows are pairs; ``before`` of the others is not read."""
+        keys = (word[~paired], _pairs(word[paired], before[paired]))
+        order = [np.argsort(k) for k in keys]
+        self.keys = [k[o] for k, o in zip(keys, order, strict=True)]
+        self.ratios = [r[o] for r, o in zip((ratio[~paired], ratio[paired]), order, strict=True)]
 
     def log_ratios(self, h: np.ndarray) -> np.ndarray:
         """log P(word | before, toxic) - log P(word | before, ordinary); 0 where a word comes again."""
-        pair = _pairs(h)
-        w, p = _word_bucket(pair), _pair_bucket(pair)
-        out = self.ratio[w].copy()
-        kept = self.pair[:, p]
-        known = np.flatnonzero((kept > 0).any(axis=0))
-        if len(known):
-            before = np.concatenate([[0], w[:-1]])[known]
-            share = kept[:, known] / (self.context[:, before].sum(axis=0) + kept[:, known].sum(axis=0) + 1.0)
-            own = self.word[:, w[known]]
-            probability = share + (1.0 - share) * own
-            out[known] = np.clip(np.log(probability[1]) - np.log(probability[0]), -MOST, MOST)
-        again = np.ones(len(w), dtype=bool)
-        again[np.unique(w, return_index=True)[1]] = False
+        out = np.zeros(len(h))
+        for keys, ratios, x in zip(self.keys, self.ratios, (h, _pairs(h, _before(h, 1))), strict=True):
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+                hit = keys[at] == x
+                out[hit] = ratios[at[hit]]
+        again = np.ones(len(h), dtype=bool)
+        again[np.unique(h, return_index=True)[1]] = False
         out[again] = 0.0
         return out
 
@@ -158,6 +172,64 @@ class Model:
         best = sums[-1] if n <= WINDOW else (sums[WINDOW:] - sums[:-WINDOW]).max()
         return tuple(float(np.clip(x, -3.0, 3.0)) for x in (sums[-1] / n, sums[-1] / np.sqrt(n), best / WINDOW))
 
+
+def _evidence_of(rows) -> Evidence:
+    """From columns word, before and ratio of an Arrow table or struct array."""
+    word, before, ratio = (rows.column(c) if hasattr(rows, "column") else rows.field(c) for c in ("word", "before", "ratio"))
+    paired = before.is_valid().to_numpy(zero_copy_only=False)
+    unsigned = lambda x: x.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    return Evidence(unsigned(word), unsigned(before), paired, ratio.to_numpy(zero_copy_only=False).astype(np.float64))
+
+
+def add_features(docs: DataFrame, evidence: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``docs`` with the three features of ``text`` as _a, _b and _c.
+
+    Evidence of up to ``most`` rows is broadcast. More of it is joined to the
+    distinct words and pairs of each text, and what is found comes back to the
+    text by its digest.
+    """
+    names = docs.columns
+    schema = StructType(docs.schema.fields + StructType.fromDDL("_a double, _b double, _c double").fields)
+    small = evidence.count() <= most
+    if small:
+        shared = docs.sparkSession.sparkContext.broadcast(_evidence_of(evidence.toArrow().combine_chunks()))
+    else:
+
+        def expressions(batches):
+            hasher = Hasher()
+            for batch in batches:
+                for part in slices(batch, 512):
+                    for key, text in zip(part.column("_text").to_pylist(), part.column("text").to_pylist(), strict=True):
+                        h = hasher(text)
+                        found = np.unique(np.stack([h, _before(h, 1)], axis=1), axis=0).view(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array([key] * len(found), pa.string()), pa.array(found[:, 0]), pa.array(found[:, 1])], names=["_text", "word", "before"])
+
+        docs = docs.withColumn("_text", F.sha2("text", 256))
+        own = docs.select("_text", "text").mapInArrow(expressions, "_text string, word bigint, before bigint")
+        hits = own.join(evidence.where("before IS NOT NULL"), ["word", "before"]).select("_text", "word", "before", "ratio")
+        alone = own.select("_text", "word").distinct().join(evidence.where("before IS NULL"), "word").select("_text", "word", "before", "ratio")
+        found = hits.unionByName(alone).groupBy("_text").agg(F.collect_set(F.struct("word", "before", "ratio")).alias("_hits"))
+        docs = docs.join(found, "_text", "left").select(*names, "_hits")
+
+    def features(batches):
+        hasher = Hasher()
+        for batch in batches:
+            for part in slices(batch, 512):
+                texts = part.column("text").to_pylist()
+                known = [shared.value] * len(texts) if small else [_evidence_of(part.column("_hits")[i].values) if part.column("_hits")[i].is_valid else None for i in range(len(texts))]
+                x = np.array([(0.0, 0.0, 0.0) if k is None else k.features(hasher(t)) for k, t in zip(known, texts, strict=True)]).reshape(-1, 3)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *(pa.array(x[:, i]) for i in range(3))], names=[*names, "_a", "_b", "_c"])
+
+    return docs.mapInArrow(features, schema)
+
+
+class Model:
+    """Evidence as a table that grows with the labelled texts, and the weights of the features."""
+
+    def __init__(self, evidence: DataFrame):
+        self.evidence = evidence
+        self.weights = np.zeros(4)
+
     def calibrate(self, x: np.ndarray, y: np.ndarray, rounds: int = 100, ridge: float = 0.1) -> None:
         """Logistic weights of the features and a constant, by Newton steps on standardised features."""
         if not len(y):
@@ -176,10 +248,6 @@ class Model:
                 break
         self.weights = np.concatenate([w[:-1] / scale, [w[-1] - float((w[:-1] * centre / scale).sum())]])
 
-    def score(self, h: np.ndarray) -> float:
-        z = float(np.dot(self.weights, [*self.features(h), 1.0]))
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
-
 
 def _labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     """Training rows (doc_id, fold, toxic, text): labels are a table of at most about ``most`` rows, so they are broadcast."""
@@ -196,74 +264,31 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 1_000_000) -> Model:
 
     Folds 1 to 3 are counted, fold 4 calibrates. At most about ``most`` labelled
     rows are used, taken evenly by a hash of the id; all of them below that.
-    Pairs of the labelled texts are grouped by Spark; only tables of fixed size
-    reach the driver: 2^18 word buckets and 2^20 pair buckets, and three
-    features a calibration row.
+    Words and pairs are counted exactly in tables that grow with the labelled
+    texts; three features a calibration row reach the driver.
     """
     rows = _labelled(docs, labels, most)
-
-    def pairs(batches):
-        hasher = Hasher()
-        for batch in batches:
-            for part in slices(batch, 512):
-                pair, mask = gather((y, hasher(t)) for y, t in zip(part.column("toxic").to_pylist(), part.column("text").to_pylist(), strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), pa.array(mask.view(np.int64))], names=["pair", "mask"])
-
-    found = rows.where("fold < 4").select("toxic", "text").mapInArrow(pairs, "pair bigint, mask bigint")
-    found = found.groupBy("pair").agg(F.bit_or("mask").alias("mask"))
-    half = {0: F.col("mask").bitwiseAND(F.lit(0xFFFFFFFF)), 1: F.shiftrightunsigned("mask", 32)}
-    kinds = {c: -32.0 * F.log1p(-F.least(F.bit_count(m), F.lit(31)) / 32.0) for c, m in half.items()}  # linear counting
-    big = (F.col("n0") > LEAST) | (F.col("n1") > LEAST)
-
-    # Counts of a word or pair are whole before they meet a bucket, so rare ones never add up in one.
-    words = found.select(F.shiftrightunsigned("pair", 32).alias("w"), *((m != 0).cast("double").alias(f"n{c}") for c, m in half.items()))
-    words = words.groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).withColumn("at", F.when(big, F.shiftrightunsigned("w", 32 - WORD_BITS)).otherwise(-1))
-    seen = found.select(F.shiftrightunsigned(F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)), 32 - PAIR_BITS).alias("p"), *(k.alias(f"n{c}") for c, k in kinds.items()))
-    seen = seen.withColumn("at", F.when(big, F.col("p")).otherwise(-1))
-    sums = [t.groupBy("at").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).select(F.lit(i).alias("table"), "at", "n0", "n1") for i, t in enumerate((words, seen))]
-    got = sums[0].unionByName(sums[1]).toPandas()
-    tables, totals = [np.zeros((2, 1 << bits)) for bits in (WORD_BITS, PAIR_BITS)], np.zeros((2, 2))
-    for number, own in got.groupby("table"):
-        known = own[own["at"] >= 0]
-        for c in (0, 1):
-            totals[number, c] = own[f"n{c}"].sum()
-            tables[number][c, known["at"].to_numpy(dtype=np.int64)] = known[f"n{c}"].to_numpy()
-    model = Model(*tables, totals)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def features(batches):
-        hasher = Hasher()
-        for batch in batches:
-            for part in slices(batch, 512):
-                x = np.array([shared.value.features(hasher(t)) for t in part.column("text").to_pylist()]).reshape(-1, 3)
-                yield pa.RecordBatch.from_arrays([part.column("toxic"), *(pa.array(x[:, i]) for i in range(3))], names=["toxic", "a", "b", "c"])
-
-    tuned = rows.where("fold = 4").select("toxic", "text").mapInArrow(features, "toxic int, a double, b double, c double").toPandas()
-    model.calibrate(tuned[["a", "b", "c"]].to_numpy(), tuned["toxic"].to_numpy().astype(float))
-    shared.unpersist()
+    model = Model(learn_evidence(count_expressions(rows.where("fold < 4"))))
+    tuned = add_features(rows.where("fold = 4").select("toxic", "text"), model.evidence).select("toxic", "_a", "_b", "_c").toPandas()
+    model.calibrate(tuned[["_a", "_b", "_c"]].to_numpy(), tuned["toxic"].to_numpy().astype(float))
     return model
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from 0.5).
 
-    The model is a broadcast of fixed size, so scoring is one pass without a
-    shuffle over whole texts. Null and empty texts get the score of a text
-    without evidence. Repeated rows score alike; an empty table gives no rows;
-    columns named score and predicted are replaced.
+    Evidence that is measured small is broadcast, so scoring is one pass without
+    a shuffle; otherwise it is joined (see ``add_features``). Null and empty
+    texts get the score of a text without evidence. Repeated rows score alike;
+    an empty table gives no rows; columns named score and predicted are replaced.
     """
     docs = docs.drop("score", "predicted")
-    names = docs.columns
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def score(batches):
-        hasher = Hasher()
-        for batch in batches:
-            for part in slices(batch, 512):
-                found = np.array([shared.value.score(hasher(t)) for t in part.column("text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.float64()), pa.array((found >= 0.5).astype(np.int32), pa.int32())], names=[*names, "score", "predicted"])
-
-    return docs.mapInArrow(score, StructType(docs.schema.fields + StructType.fromDDL("score double, predicted int").fields))
+    z = F.lit(float(model.weights[3]))
+    for w, c in zip(model.weights, ("_a", "_b", "_c"), strict=False):
+        z = z + float(w) * F.col(c)
+    score = 1.0 / (1.0 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
+    scored = add_features(docs, model.evidence).withColumn("score", score)
+    return scored.select(*docs.columns, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, most: int = 1_000_000) -> DataFrame:

@@ -307,6 +307,24 @@ def test_toxicity_held_out(spark):
     assert toxicity.toxicity(docs.limit(0), labelled).count() == 0
 
 
+def test_toxicity_counts_are_exact(spark):
+    texts = [(1, f"a{i} foul play") for i in range(2000)] + [(0, f"a{i} foul play") for i in range(150)] + [(0, f"b{i} fair deal") for i in range(2000)]
+    pairs = toxicity.count_expressions(spark.createDataFrame(texts * 2, "toxic int, text string"))
+    assert sorted((r.n0, r.n1) for r in pairs.collect())[-2:] == [(150, 2000), (2000, 0)]
+    evidence = toxicity.learn_evidence(pairs)
+    assert evidence.where("before IS NOT NULL AND ratio > 1").count() == 1
+    docs = spark.createDataFrame([(1, "a1 foul play"), (2, "b7 fair deal"), (3, None), (4, "foul deal"), (1, "a1 foul play")], "doc_id long, text string")
+    small, joined = (sorted(map(tuple, toxicity.add_features(docs, evidence, most).collect()), key=repr) for most in (1000, 0))
+    assert small == joined and len(small) == 5 and small[0][2] > 0
+
+
+def test_toxic_words_share_no_bucket(spark):
+    rows = [(y, f"p{i} {'mean' if y else 'kind'}{w}") for y in (0, 1) for w in range(2000) for i in range(40)]
+    evidence = toxicity.learn_evidence(toxicity.count_expressions(spark.createDataFrame(rows, "toxic int, text string")))
+    words = [r.ratio for r in evidence.where("before IS NULL").collect()]
+    assert len(words) == 4000 and len({round(abs(x), 9) for x in words}) == 1 and sum(x > 0 for x in words) == 2000
+
+
 def test_url_rules_and_segments(spark):
     page = "<p>" + "cheap flights casino win great sale " * 5 + "</p>"
     rows = [(1, "http://www.Example.com/en/a", page), (2, "http://x.example.com/en/a?q", page), (3, "https://a.net/es/1#t", page), (4, None, None), (5, "nothing", ""), (6, "http://casinowin.org/x", page), (7, "http://greatsale.org/x", page), (8, "http://evilnet/es/", page)]
