@@ -26,7 +26,7 @@ PLACE = {k: i for i, k in enumerate(KINDS)}
 # The weak candidates.
 WEAK_ID = re.compile(r"""\b(?:(?i:client_?id|access_?id|account_?id|user_?name|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{4,})|((?:ASIA|AIDA|AROA)[A-Z0-9]{12,}))""", re.ASCII)
 WEAK_ID_HINTS = ("client", "access", "account", "user", "login", "ASIA", "AIDA", "AROA")
-WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/=_-])", re.ASCII)
+WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/=_-])", re.ASCII)
 ENDPOINT = re.compile(r"""\b(?:https?|ftp|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\x20\x09-\x0D"'<>]+""", re.ASCII)
 
 
@@ -95,8 +95,8 @@ def _near(a: np.ndarray, b: np.ndarray, scope: int) -> np.ndarray:
 def linked(text: str, base: list[tuple[int, int, str]], scope: int) -> list[tuple[int, int, str]]:
     """Weak parts whose complement lies in their scope.
 
-    A scope is the blank-line paragraph of a part, widened by at most ``scope``
-    characters around it. An identifier needs a secret; a secret needs an
+    A scope is a part widened by ``scope`` characters on both sides; paragraphs
+    are not looked at. An identifier needs a secret; a secret needs an
     identifier or an endpoint; an endpoint needs a secret. Base spans complete
     weak parts: ``access`` is an identifier, ``assign`` and ``hex`` are secrets.
     """

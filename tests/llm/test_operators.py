@@ -277,6 +277,13 @@ def test_secret_spans():
     assert secret_links.linked(far, [], 200) == []
 
 
+def test_long_secrets_are_candidates():
+    long = "Zx9Qw7Er5Ty3Ui1Op0As8Df6Gh4Jk2Lz" * 12 + "=="
+    text = f"client_id: svc-reader\nkey {long}\n"
+    at = text.index(long)
+    assert (at, at + len(long), "linked_secret") in secret_links.linked(text, [], 200)
+
+
 def test_secret_rows(docs):
     got = secret_links.secret_digest(docs).collect()
     at = dict(TEXTS)[13].index("4845")
