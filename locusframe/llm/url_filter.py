@@ -18,8 +18,8 @@ from locusframe.session import materialize
 PAGE_WORD = re.compile(r"(?<![A-Za-z])[A-Za-z]{2,20}(?![A-Za-z])")
 MARKUP = re.compile(r"<(?:script|style)\b.*?</(?:script|style)>|<[^>]*>", re.S | re.I)
 LONGEST = 20
-#: Token buckets of the naive Bayes, whose table never grows.
-TOKEN_BITS = 16
+#: Kinds of tokens that smoothing expects at least, seen or unseen; where more are seen, their number counts.
+LEAST_KINDS = 1 << 16
 
 # Tokens that name unwanted sites; they give the training labels.
 BLOCK_SEEDS = (
@@ -129,10 +129,31 @@ def _tokens(parts, path: str | None) -> list[str]:
     return [*(f"h:{p}" for p in parts if len(p) > 1), *("p:<number>" if w.isdigit() else f"p:{w}" for w in words)]
 
 
-def _token_buckets(tokens: list[str]) -> np.ndarray:
-    import xxhash
+def token_ratios(judged: DataFrame, smoothing: float) -> DataFrame:
+    """(token, ratio) of every token of ``judged`` (parts, path, seeded): log P(token | blocked) - log P(token | other).
 
-    return np.array([xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) >> (64 - TOKEN_BITS) for t in tokens], dtype=np.int64)
+    Tokens are counted by themselves in a table that grows with the urls; only
+    sums come to the driver. Without blocked tokens there is nothing to compare
+    and every ratio is 0.
+    """
+
+    def count(batches):
+        for batch in batches:
+            found: dict[str, list[int]] = {}
+            for parts, path, seeded in zip(batch.column("parts").to_pylist(), batch.column("path").to_pylist(), batch.column("seeded").to_pylist(), strict=True):
+                for t in _tokens(parts, path):
+                    found.setdefault(t, [0, 0])[seeded] += 1
+            n = np.array(list(found.values()), dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(n[:, 0]), pa.array(n[:, 1])], names=["token", "n0", "n1"])
+
+    counts = judged.select("parts", "path", "seeded").mapInArrow(count, "token string, n0 bigint, n1 bigint")
+    counts = materialize(counts.groupBy("token").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "tokens")
+    sums = counts.agg(F.sum("n0"), F.sum("n1"), F.count(F.lit(1))).first()
+    if not sums[1]:
+        return counts.select("token", F.lit(0.0).alias("ratio"))
+    kinds = max(sums[2], LEAST_KINDS)
+    p = [(F.col(f"n{c}") + smoothing) / (sums[c] + smoothing * kinds) for c in (0, 1)]
+    return counts.select("token", (F.log(p[1]) - F.log(p[0])).alias("ratio"))
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], smoothing: float = 0.5, odds: float = 0.0) -> DataFrame:
@@ -145,8 +166,9 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], smoothing: float
     is of the blocked class. Class priors are equal, so evidence decides; a log
     ratio above ``odds`` blocks.
 
-    Token counts of all urls go to a table of 2^16 buckets, which is collected
-    and broadcast. Splits are made once a distinct name and joined to the urls.
+    Tokens are counted by themselves, in a table that grows with the urls. The
+    tokens of each distinct host and each distinct path are joined to it, and
+    the two sums to the urls. Splits are made once a distinct name.
 
     A null url or one without ``://`` has empty host and path, no rule and no
     evidence, and is allowed. Null html adds no words. Repeated rows are judged
@@ -159,43 +181,25 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], smoothing: float
     parts = segment_hosts(hosts, materialize(page_words(pages), "words"))
     # Labels repeat across hosts (com, www), so they are put together a host at a time, of which there are few.
     split = hosts.select("host", F.posexplode(names).alias("at", "label")).join(parts, "label")
-    split = split.groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "parts"))), lambda x: x["parts"])).alias("parts"))
+    split = materialize(split.groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "parts"))), lambda x: x["parts"])).alias("parts")), "splits")
     seeds = F.array(*map(F.lit, BLOCK_SEEDS))
     judged = base.join(split, "host", "left").select(
         "page_id", "host", "path", F.coalesce("parts", F.array().cast("array<string>")).alias("parts")
     )
     judged = materialize(judged.withColumn("seeded", F.arrays_overlap("parts", seeds).cast("int")), "urls")
 
-    def count(batches):
-        for batch in batches:
-            table = np.zeros((2, 1 << TOKEN_BITS), dtype=np.int64)
-            for parts_, path, seeded in zip(batch.column("parts").to_pylist(), batch.column("path").to_pylist(), batch.column("seeded").to_pylist(), strict=True):
-                np.add.at(table[seeded], _token_buckets(_tokens(parts_, path)), 1)
-            at = np.flatnonzero(table.any(axis=0))
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[0, at]), pa.array(table[1, at])], names=["bucket", "n0", "n1"])
-
-    counts = judged.select("parts", "path", "seeded").mapInArrow(count, "bucket bigint, n0 bigint, n1 bigint")
-    got = counts.groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
-    table = np.full((2, 1 << TOKEN_BITS), smoothing)
-    for c in (0, 1):
-        table[c, got["bucket"].to_numpy(dtype=np.int64)] += got[f"n{c}"].to_numpy(dtype=np.float64)
-    seen = (table > smoothing).any(axis=0)
-    if (table[1] > smoothing).any():
-        used = table / table.sum(axis=1, keepdims=True)
-        ratio = np.where(seen, np.log(used[1]) - np.log(used[0]), 0.0)
-    else:
-        ratio = np.zeros(1 << TOKEN_BITS)
-    shared = pages.sparkSession.sparkContext.broadcast(ratio)
-
-    def judge(batches):
+    def path_tokens(batches):
         for batch in batches:
-            said = []
-            for parts_, path in zip(batch.column("parts").to_pylist(), batch.column("path").to_pylist(), strict=True):
-                at = _token_buckets(_tokens(parts_, path))
-                said.append(float(shared.value[at].sum()) if len(at) else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("page_id", "host", "path", "parts")] + [pa.array(said, pa.float64())], names=["page_id", "host", "path", "parts", "log_ratio"])
-
-    scored = judged.select("page_id", "host", "path", "parts").mapInArrow(judge, "page_id bigint, host string, path string, parts array<string>, log_ratio double")
+            found = [(path, t) for path in batch.column("path").to_pylist() for t in _tokens((), path)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in (0, 1)], names=["path", "token"])
+
+    ratios = token_ratios(judged, smoothing)
+    of_host = split.select("host", F.explode(F.filter("parts", lambda p: F.length(p) > 1)).alias("part")).select("host", F.concat(F.lit("h:"), "part").alias("token"))
+    of_path = judged.select("path").distinct().mapInArrow(path_tokens, "path string, token string")
+    of_host = of_host.join(ratios, "token").groupBy("host").agg(F.sum("ratio").alias("host_ratio"))
+    of_path = of_path.join(ratios, "token").groupBy("path").agg(F.sum("ratio").alias("path_ratio"))
+    scored = judged.join(of_host, "host", "left").join(of_path, "path", "left")
+    scored = scored.withColumn("log_ratio", F.coalesce("host_ratio", F.lit(0.0)) + F.coalesce("path_ratio", F.lit(0.0)))
     rule, said = match_rules(F.col("host"), F.col("path"), rules)
     verdict = F.coalesce(said, F.when(F.col("log_ratio") > odds, "block").otherwise("allow"))
     return scored.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), F.col("parts").alias("segments"), "log_ratio")

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import re
 import zlib
 
@@ -342,3 +343,27 @@ def test_url_rules_and_segments(spark):
     assert got[6].segments[:2] == ["casino", "win"] and got[6].verdict == "block" and got[7].verdict == "allow"
     assert (got[1].host, got[1].path, got[4].host) == ("www.example.com", "/en/a", "")
     assert url_filter.filter_urls(df.limit(0), URL_RULES).count() == 0
+
+
+def test_url_tokens_do_not_share_counts(spark):
+    import xxhash
+    from collections import Counter
+
+    seen, pair = {}, None
+    for i in range(100_000):
+        word = "".join(chr(97 + i // 26**k % 26) for k in range(5)) + "q"
+        pair = seen.get(at := xxhash.xxh3_64_intdigest(f"p:{word}".encode()) >> 48), word
+        if pair[0]:
+            break
+        seen[at] = word
+    bad, good = pair
+    rows = [(i, f"http://casino.org/{bad}", "") for i in range(20)] + [(i, f"http://news.org/{good}", "") for i in range(20, 60)] + [(60, f"http://q.org/{bad}", None), (61, f"http://q.org/{good}", None), (61, f"http://q.org/{good}", None)]
+    got = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), []).collect()
+    counts = [Counter(), Counter()]
+    for r in got:
+        counts["casino" in r.segments].update(url_filter._tokens(r.segments, r.path))
+    kinds, sums = max(1 << 16, len(counts[0] | counts[1])), [sum(c.values()) for c in counts]
+    ratio = lambda t: math.log((counts[1][t] + 0.5) / (sums[1] + 0.5 * kinds)) - math.log((counts[0][t] + 0.5) / (sums[0] + 0.5 * kinds))
+    for r in got:
+        assert math.isclose(r.log_ratio, sum(map(ratio, url_filter._tokens(r.segments, r.path))), abs_tol=1e-9)
+    assert len(got) == 63 and {r.page_id: r.verdict for r in got if r.page_id > 59} == {60: "block", 61: "allow"}
