@@ -7,11 +7,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.llm.common import word_count
+from locusframe.session import materialize
 
 AXES = ("source", "lang", "topic")
-#: Categories an axis keeps by name; the lighter ones count together as OTHER.
-MOST_CATEGORIES = {"source": 1024, "lang": 64, "topic": 32}
-OTHER = "(other)"
+#: Cells that are raked on the driver; more of them are raked by Spark.
+DRIVER_CELLS = 200_000
 NEW = ("n_tokens", "topic", "probability", "weight", "selected")
 
 
@@ -32,19 +32,61 @@ def rake(mass: np.ndarray, targets: list[np.ndarray], rounds: int = 200, toleran
     Each round scales the axes in turn. Cells without mass stay empty, and a
     category without mass gives its share to the others.
     """
+    return rake_cells(np.indices(mass.shape).reshape(mass.ndim, -1), mass.ravel(), targets, rounds, tolerance).reshape(mass.shape)
+
+
+def rake_cells(place: np.ndarray, mass: np.ndarray, targets: list[np.ndarray], rounds: int = 200, tolerance: float = 1e-9) -> np.ndarray:
+    """``rake`` of listed cells; ``place`` has the category number of each cell, a row an axis."""
     out = mass / max(mass.sum(), 1e-300)
     want = []
-    for axis, t in enumerate(targets):
-        seen = out.sum(axis=tuple(i for i in range(out.ndim) if i != axis)) > 0
-        t = np.where(seen, t, 0.0)
+    for at, t in zip(place, targets, strict=True):
+        t = np.where(np.bincount(at, out, len(t)) > 0, t, 0.0)
         want.append(t / t.sum() if t.sum() > 0 else t)
     for _ in range(rounds):
         worst = 0.0
-        for axis, t in enumerate(want):
-            sums = out.sum(axis=tuple(i for i in range(out.ndim) if i != axis))
+        for at, t in zip(place, want, strict=True):
+            sums = np.bincount(at, out, len(t))
             factor = np.divide(t, sums, out=np.zeros_like(t), where=sums > 0)
             worst = max(worst, float(np.abs(sums - t).max(initial=0)))
-            out = out * factor.reshape([-1 if i == axis else 1 for i in range(out.ndim)])
+            out = out * factor[at]
+        if worst < tolerance:
+            break
+    return out
+
+
+def _rake_on_driver(cells: DataFrame, targets: dict[str, dict[str, float]], power: float) -> DataFrame:
+    rows = cells.collect()
+    mass = np.array([r["n"] for r in rows], dtype=float)
+    place, wanted = [], []
+    for a in AXES:
+        names = {c: i for i, c in enumerate(dict.fromkeys(r[f"_{a}"] for r in rows))}
+        place.append(np.array([names[r[f"_{a}"]] for r in rows], dtype=np.int64))
+        given = targets.get(a)
+        wanted.append(np.array([given.get(c, 0.0) for c in names]) if given else tempered(np.bincount(place[-1], mass, len(names)), power))
+    raked = rake_cells(np.array(place), mass, wanted)
+    return cells.sparkSession.createDataFrame([(*r, float(x)) for r, x in zip(rows, raked, strict=True)], f"{cells.schema.simpleString()[7:-1]},raked:double".replace(":", " "))
+
+
+def _rake_in_spark(cells: DataFrame, targets: dict[str, dict[str, float]], power: float, rounds: int = 200, tolerance: float = 1e-9) -> DataFrame:
+    """The same as jobs: each axis sums its categories and joins the factors back, as a written table."""
+    total = float(max(cells.agg(F.sum("n")).first()[0] or 0, 1e-300))
+    out, want = cells.withColumn("raked", F.col("n") / total), {}
+    for a in AXES:
+        seen = cells.groupBy(f"_{a}").agg(F.sum("n").cast("double").alias("n")).where("n > 0")
+        if given := targets.get(a):
+            named = cells.sparkSession.createDataFrame([(c, float(t)) for c, t in given.items()], f"_{a} string, t double")
+            seen = seen.join(named, f"_{a}").select(f"_{a}", "t")
+        else:
+            seen = seen.select(f"_{a}", F.pow("n", F.lit(power)).alias("t"))
+        of_all = float(seen.agg(F.sum("t")).first()[0] or 0) or 1.0
+        want[a] = materialize(seen.withColumn("t", F.col("t") / of_all), "wanted")
+    for _ in range(rounds):
+        worst = 0.0
+        for a in AXES:
+            sums = out.groupBy(f"_{a}").agg(F.sum("raked").alias("s")).join(want[a], f"_{a}", "left").withColumn("t", F.coalesce("t", F.lit(0.0)))
+            factors = materialize(sums.select(f"_{a}", F.when(F.col("s") > 0, F.col("t") / F.col("s")).otherwise(0.0).alias("factor"), F.abs(F.col("s") - F.col("t")).alias("gap")), "factors")
+            worst = max(worst, factors.agg(F.max("gap")).first()[0] or 0.0)
+            out = materialize(out.join(factors, f"_{a}").select(*cells.columns, (F.col("raked") * F.col("factor")).alias("raked")), "raked")
         if worst < tolerance:
             break
     return out
@@ -62,6 +104,7 @@ def mix_probabilities(
     power: float = 0.95,
     topic: Column | None = None,
     seed: int = 17,
+    driver_cells: int = DRIVER_CELLS,
 ) -> DataFrame:
     """``docs`` with n_tokens, source, lang and topic categories, ``probability``, ``weight`` and ``selected``.
 
@@ -73,11 +116,10 @@ def mix_probabilities(
     hash of id and text decides, so a rerun selects the same rows and equal rows
     share their fate. ``weight`` is the raked share over the observed one.
 
-    One scan with map-side sums gives the cells. Their number is bounded by
-    MOST_CATEGORIES whatever the input: categories beyond the heaviest of an
-    axis count together. So the cells go to the driver for raking and come back
-    as a table of that bounded size, which is broadcast; documents are not
-    shuffled, and a source with most rows is no hot key.
+    One scan with map-side sums gives the cells, every category by its own name.
+    Up to ``driver_cells`` of them are raked on the driver, more by Spark jobs
+    with a written table a step. The planner broadcasts the raked cells where
+    they are small, so documents are then not shuffled.
 
     Null categories count as "". Null or blank texts have no tokens; their cell
     decides like any other, with probability 1 where the cell has no tokens.
@@ -88,39 +130,15 @@ def mix_probabilities(
     topic = topic_of(F.col("text")) if topic is None else topic
     base = docs.withColumns({"_topic": topic, "_tokens": word_count(F.col("text"))}).drop(*NEW).withColumnsRenamed({"_topic": "topic", "_tokens": "n_tokens"})
     named = base.withColumns({f"_{a}": F.coalesce(F.col(a).cast("string"), F.lit("")) for a in AXES})
-    kept: dict[str, list[str]] = {}
-    cells = named.groupBy(*(f"_{a}" for a in AXES)).agg(F.sum("n_tokens").alias("n")).persist()
-    try:
-        for a in AXES:
-            top = cells.groupBy(f"_{a}").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), f"_{a}").limit(MOST_CATEGORIES[a]).collect()
-            kept[a] = [r[0] for r in top] + [OTHER]
-        folded = {a: F.when(F.col(f"_{a}").isin(kept[a][:-1]), F.col(f"_{a}")).otherwise(OTHER) for a in AXES}
-        rows = cells.select(*(folded[a].alias(a) for a in AXES), "n").groupBy(*AXES).agg(F.sum("n").alias("n")).collect()
-    finally:
-        cells.unpersist()
-    place = {a: {c: i for i, c in enumerate(kept[a])} for a in AXES}
-    mass = np.zeros([len(kept[a]) for a in AXES])
-    for r in rows:
-        mass[tuple(place[a][r[a]] for a in AXES)] = r["n"]
-    wanted = []
-    for axis, a in enumerate(AXES):
-        sums = mass.sum(axis=tuple(i for i in range(3) if i != axis))
-        given = (targets or {}).get(a)
-        wanted.append(np.array([given.get(c, 0.0) for c in kept[a]]) if given else tempered(sums, power))
-    raked = rake(mass, wanted)
-    share = mass / max(mass.sum(), 1e-300)
-    weight = np.divide(raked, share, out=np.zeros_like(share), where=share > 0)
-    highest = max(float(weight.max(initial=0.0)), 1e-300)
-    table = []
-    for r in rows:
-        at = tuple(place[a][r[a]] for a in AXES)
-        w = float(weight[at])
-        table.append((*(r[a] for a in AXES), w, w / highest if r["n"] else 1.0))
-    spark = docs.sparkSession
-    cell = spark.createDataFrame(table, "_source string, _lang string, _topic string, weight double, probability double")
+    keys = [f"_{a}" for a in AXES]
+    cells = materialize(named.groupBy(*keys).agg(F.sum("n_tokens").alias("n")), "cells")
+    raked = (_rake_on_driver if cells.count() <= driver_cells else _rake_in_spark)(cells, targets or {}, power)
+    total = max(float(cells.agg(F.sum("n")).first()[0] or 0), 1e-300)
+    weighed = materialize(raked.select(*keys, "n", F.when(F.col("n") > 0, F.col("raked") / (F.col("n") / total)).otherwise(0.0).alias("weight")), "weights")
+    highest = max(float(weighed.agg(F.max("weight")).first()[0] or 0), 1e-300)
+    cell = weighed.select(*keys, "weight", F.when(F.col("n") > 0, F.col("weight") / highest).otherwise(1.0).alias("probability"))
     draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"), F.sha2(F.coalesce("text", F.lit("")), 256))), 1, 13), 16, 10).cast("double") / float(1 << 52)
-    joined = named.withColumns({f"_{a}": folded[a] for a in AXES}).join(F.broadcast(cell), [f"_{a}" for a in AXES])
-    return joined.withColumn("selected", draw < F.col("probability")).drop(*(f"_{a}" for a in AXES))
+    return named.join(cell, keys).withColumn("selected", draw < F.col("probability")).drop(*keys)
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:

@@ -237,6 +237,19 @@ def test_raking_meets_marginals():
         assert np.allclose(out.sum(axis=tuple(i for i in range(3) if i != axis)), t, atol=1e-6)
 
 
+def test_mixing_names_every_category(spark):
+    rows = [(i, "word " * (2 + i // 100), f"s{i}", "en") for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    few, spread = ({r.doc_id: (r.weight, r.probability) for r in mixing.mix_probabilities(df, power=0.5, driver_cells=n).collect()} for n in (2000, 0))
+    sizes = np.array([2 + i // 100 for i in range(1500)], dtype=float)
+    want = sizes**-0.5 / (sizes**0.5).sum() * sizes.sum()
+    assert np.allclose([few[i][0] for i in range(1500)], want) and np.allclose([spread[i] for i in range(1500)], [few[i] for i in range(1500)])
+    light = {"source": {"s3": 0.5, "s1400": 0.5}}
+    for n in (2000, 0):
+        picked = {r.doc_id: r.probability for r in mixing.mix_probabilities(df, targets=light, driver_cells=n).where("probability > 0").collect()}
+        assert set(picked) == {3, 1400} and math.isclose(picked[3], 1.0) and math.isclose(picked[1400], 2 / 16)
+
+
 def test_mixing_rows(docs):
     got = mixing.mix_probabilities(docs).collect()
     assert len(got) == len(TEXTS) and all(0 <= r.probability <= 1 for r in got)
