@@ -3,23 +3,28 @@
 from __future__ import annotations
 
 import os
+from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from locusframe.llm.alignment import align_tokenizers
 from locusframe.llm.common import table
+from locusframe.llm.languages import held_out_languages
 from locusframe.llm.minhash import near_duplicates
 from locusframe.llm.mixing import mix_probabilities
 from locusframe.llm.packing import pack_documents
 from locusframe.llm.pii import pseudonymise
 from locusframe.llm.quality import BASE_COUNTS, quality_cascade
 from locusframe.llm.secret_links import secret_digest
+from locusframe.llm.spelling import spelling_variants
 from locusframe.llm.syncmers import fingerprint_edits
 from locusframe.llm.token_store import store_digest
 from locusframe.llm.toxicity import toxicity
 from locusframe.llm.url_filter import filter_urls
 
 #: Folder of the public tokenizer files.
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR") or str(Path(public_tokenizers.path("byte_bpe_50k.json")).parent)
 #: The key of the pseudonyms; a deployment sets its own.
 PII_KEY = os.environ.get("PII_KEY", "corpus-2024")
 URL_RULES = [
@@ -74,6 +79,19 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return held_out_languages(table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = align_tokenizers(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model")
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -87,6 +105,9 @@ QUERIES = {
         op8_secret_links,
         op9_toxicity,
         op10_url_filter,
+        op11_spelling_variants,
+        op12_language_id,
+        op13_token_alignment,
     )
 }
 #: Verdicts do not depend on the order of the rules, so SQL can give op3 whole; the
