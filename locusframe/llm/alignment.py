@@ -11,6 +11,8 @@ postings, read back with the counts, give each document its scores.
 from __future__ import annotations
 
 import hashlib
+import itertools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +31,14 @@ BLOCK_ROWS = 1 << 16
 BLOCK_LINKS = 3_000_000
 #: A container of so many documents or more is a plain bit field of 8,192 bytes, one of fewer a sorted list of places.
 DENSE = 4096
-#: Characters of remembered pieces of text before a worker starts anew.
-KEEP = 24_000_000
+#: Pieces that a worker remembers with their alignment, and that it remembers with their first ids, before it starts anew.
+KEEP, ENCODED = 300_000, 150_000
+#: Blanks and letters before a sign, else text up to a blank, else blanks at the end.
+PARTS = re.compile(r"[ \n]*+[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[.,;:!?|()\"'])|[ \n]*+[^ \n]++|[ \n]++")
+#: A vocabulary entry that spans a letter and the sign after it.
+SPANS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ][.,;:!?|()\"']")
+#: Stands before a sign that is encoded alone.
+LETTER = "a"
 
 
 # Containers
@@ -66,96 +74,121 @@ def planes_of(places: np.ndarray, links: np.ndarray) -> list[bytes]:
     return [container(places[(links >> bit) & 1 == 1]) for bit in range(top.bit_length())]
 
 
-# Alignment of one piece of text
-
-
-def aligned(a_ids: list[int], a_ends: list[int], b_ids: list[int], b_ends: list[int]) -> tuple[list[str], list[int]]:
-    """Groups as text and the links, as ``a_id << 16 | b_id``, of two tokenisations of the same bytes."""
-    groups, links = [], []
-    i = j = i0 = j0 = 0
-    while i < len(a_ids) and j < len(b_ids):
-        links.append(a_ids[i] << 16 | b_ids[j])
-        if a_ends[i] < b_ends[j]:
-            i += 1
-        elif a_ends[i] > b_ends[j]:
-            j += 1
-        else:
-            i, j = i + 1, j + 1
-            groups.append(",".join(map(str, a_ids[i0:i])) + "|" + ",".join(map(str, b_ids[j0:j])))
-            i0, j0 = i, j
-    return groups, links
+# Alignment of pieces of text
 
 
 class Aligner:
     """Aligns texts piece by piece and remembers pieces; one for each Python worker.
 
-    Both tokenizers cut before a blank that follows another character, so a
-    piece (blanks and the text after them) is aligned alone. A text with white
-    space other than blanks and line ends is one piece.
+    Both tokenizers cut before a blank that follows another character and
+    between a letter and the sign after it, so a piece (blanks with letters, or
+    text up to the next blank) is aligned alone. A text with white space other
+    than blanks and line ends is one piece.
     """
 
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
 
-        self.a = encoder(a_path)
+        self.a = encoder(a_path, ENCODED)
         # The byte-level alphabet: printable bytes stand for themselves, the others for U+0100 on in ascending order.
         printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         spelled = {chr(b): b for b in printable} | {chr(0x100 + n): b for n, b in enumerate(sorted(set(range(256)) - set(printable)))}
         vocabulary = self.a.plain.get_vocab(with_added_tokens=True)
-        self.a_bytes = {i: bytes(spelled[c] for c in entry) if all(c in spelled for c in entry) else entry.encode() for entry, i in vocabulary.items()}
+        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
+        for entry, i in vocabulary.items():
+            self.a_bytes[i] = bytes(spelled[c] for c in entry) if all(c in spelled for c in entry) else entry.encode()
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        self.b_bytes = [
-            bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
-            for i in range(self.b.get_piece_size())
-            for p in (self.b.id_to_piece(i),)
-        ]
+        spelt = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(spelt)]
+        #: Letters and signs are parted only if no entry of the second vocabulary spans such a place.
+        self.cut = PIECES if any(SPANS.search(p) for p in spelt) else PARTS
+        self.blank, self.letter = self.b.piece_to_id("▁"), self.b.encode(LETTER)
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in side], dtype=np.int64) for side in (self.a_bytes, self.b_bytes))
+        #: An id as text with the mark after it: a comma within a side, a bar between sides, a semicolon between groups.
+        self.most = max(len(self.a_bytes), len(self.b_bytes))
+        self.names = [f"{i}{mark}" for mark in ",|;" for i in range(self.most)]
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.kept = 0
-        self.counts: list[tuple[int, int, int, bool]] = []
         self.texts: list[str] = []
-        self.links: list[np.ndarray] = []
+        #: Per piece: tokens of each side, groups, links, and whether both sides spell it.
+        self.counts = np.zeros((1024, 5), dtype=np.int64)
+        self.starts = np.zeros(1024, dtype=np.int64)
+        self.links = np.zeros(4096, dtype=np.uint32)
+        self.n_links = 0
+
+    def _b_ids(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of the second tokenizer, without the blank that it adds to a piece that starts with none."""
+        # A blank is left to the tokenizer; a sign follows a letter, as it does in the text.
+        found = self.b.encode([p[1:] if p[0] == " " else p if p[0] == "\n" else LETTER + p for p in pieces], num_threads=1)
+        for k, piece in enumerate(pieces):
+            if piece == " ":
+                found[k] = [self.blank]
+            elif piece[0] != " ":
+                added = [self.blank] if piece[0] == "\n" else self.letter
+                if found[k][: len(added)] != added:
+                    raise ValueError(f"the second tokenizer does not cut before {piece[:40]!r}")
+                found[k] = found[k][len(added) :]
+        return found
 
     def learn(self, pieces: list[str]) -> None:
-        """Align pieces that are not known yet."""
-        a_all = self.a.encode(pieces)
-        # The piece tokenizer adds a blank: it takes the place of a piece's first one, or is dropped again.
-        b_all = self.b.encode([p[1:] if p[0] == " " else p for p in pieces], num_threads=1)
-        for piece, a_raw, b_ids in zip(pieces, a_all, b_all, strict=True):
-            a_ids = np.frombuffer(a_raw, "<u4").tolist()
-            if piece[0] != " ":
-                b_ids = b_ids[1:] if b_ids and self.b_bytes[b_ids[0]] == b" " else None
-            elif piece == " ":
-                b_ids = [self.b.piece_to_id("▁")]
-            want = piece.encode()
-            a_parts = [self.a_bytes[i] for i in a_ids]
-            b_parts = [self.b_bytes[i] for i in b_ids or ()]
-            same = b_ids is not None and b"".join(a_parts) == want and b"".join(b_parts) == want
-            groups, links = [], []
-            if same:
-                groups, links = aligned(a_ids, np.cumsum([*map(len, a_parts)]).tolist(), b_ids, np.cumsum([*map(len, b_parts)]).tolist())
-            self.known[piece] = len(self.counts)
-            self.counts.append((len(a_ids), len(b_ids or ()), len(groups), same))
-            self.texts.append(";".join(groups))
-            self.links.append(np.array(links, dtype=np.int64))
-            self.kept += len(piece) + 32
+        """Align pieces that are not known yet, all in one pass over their joined bytes."""
+        a_all = [np.frombuffer(x, "<u4") for x in self.a.encode(pieces)]
+        b_all = self._b_ids(pieces)
+        raw = [p.encode() for p in pieces]
+        counts = np.zeros((len(pieces), 5), dtype=np.int64)
+        counts[:, 0], counts[:, 1] = [len(x) for x in a_all], [len(x) for x in b_all]
+        a, b = np.concatenate(a_all).astype(np.int64), np.fromiter(itertools.chain.from_iterable(b_all), np.int64)
+        counts[:, 4] = 1
+        sides = ((a, self.a_bytes, 0), (b, self.b_bytes, 1))
+        if any(b"".join(map(table.__getitem__, ids.tolist())) != b"".join(raw) for ids, table, _ in sides):
+            for ids, table, c in sides:
+                ends = np.cumsum(counts[:, c]).tolist()
+                for k, (end, n, want) in enumerate(zip(ends, counts[:, c].tolist(), raw, strict=True)):
+                    counts[k, 4] &= b"".join(map(table.__getitem__, ids[end - n : end].tolist())) == want
+            good = counts[:, 4] == 1
+            a, b = a[np.repeat(good, counts[:, 0])], b[np.repeat(good, counts[:, 1])]
+        good = np.flatnonzero(counts[:, 4])
+        a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        piece_ends = np.cumsum([len(raw[k]) for k in good.tolist()], dtype=np.int64)
+        # Between two ends of either side lies one overlap of one token with one token.
+        ends, common = np.union1d(a_ends, b_ends), np.intersect1d(a_ends, b_ends)
+        links = a[np.searchsorted(a_ends, ends)] << 16 | b[np.searchsorted(b_ends, ends)]
+        counts[good, 2] = np.bincount(np.searchsorted(piece_ends, common), minlength=len(good))
+        counts[good, 3] = np.bincount(np.searchsorted(piece_ends, ends), minlength=len(good))
+        self._keep(pieces, counts, links)
+        place = np.concatenate([2 * np.searchsorted(common, a_ends), 2 * np.searchsorted(common, b_ends) + 1])
+        order = np.argsort(place, kind="stable")
+        place = np.append(place[order], -1)
+        mark = np.where(place[1:] == place[:-1], 0, np.where(place[:-1] % 2 == 0, 1, 2))
+        parts = list(map(self.names.__getitem__, (mark * self.most + np.concatenate([a, b])[order]).tolist()))
+        at = 0
+        for n in ((counts[:, 0] + counts[:, 1]) * counts[:, 4]).tolist():
+            self.texts.append("".join(parts[at : at + n])[:-1])
+            at += n
+
+    def _keep(self, pieces: list[str], counts: np.ndarray, links: np.ndarray) -> None:
+        first, last = len(self.known), len(self.known) + len(pieces)
+        while last > len(self.counts):
+            self.counts, self.starts = np.concatenate([self.counts, np.zeros_like(self.counts)]), np.concatenate([self.starts, np.zeros_like(self.starts)])
+        while self.n_links + len(links) > len(self.links):
+            self.links = np.concatenate([self.links, np.zeros_like(self.links)])
+        self.counts[first:last] = counts
+        self.starts[first:last] = self.n_links + np.cumsum(counts[:, 3]) - counts[:, 3]
+        self.links[self.n_links : self.n_links + len(links)] = links
+        self.n_links += len(links)
+        self.known.update(zip(pieces, range(first, last), strict=True))
 
     def pieces(self, text: str | None) -> list[int]:
         """Numbers of the known pieces of a text; none for an empty one."""
         if not text:
             return []
         text = " " + text
-        if OTHER_SPACE.search(text):
-            cut = [text]
-        elif "  " in text or " \n" in text or "\n\n" in text or "\n " in text or text[-1] in " \n" or text[1] in " \n" or "\0" in text:
-            cut = PIECES.findall(text)
-        else:
-            cut = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")[1:]
+        cut = [text] if OTHER_SPACE.search(text) else self.cut.findall(text)
         new = list(set(cut).difference(self.known))
-        for at in range(0, len(new), 4096):
-            self.learn(new[at : at + 4096])
+        for at in range(0, len(new), 8192):
+            self.learn(new[at : at + 8192])
         return list(map(self.known.__getitem__, cut))
 
 
@@ -180,12 +213,9 @@ def _expand(who: np.ndarray, pieces: np.ndarray, al: Aligner) -> tuple[np.ndarra
         return who, who, who
     at, n = np.unique(who.astype(np.int64) << 32 | pieces, return_counts=True)
     docs, of = at >> 32, at & 0xFFFFFFFF
-    used, place = np.unique(of, return_inverse=True)
-    parts = [al.links[i] for i in used.tolist()]
-    lens = np.array([len(p) for p in parts], dtype=np.int64)
-    flat, size = np.concatenate(parts), lens[place]
-    first = np.repeat((np.cumsum(lens) - lens)[place] - (np.cumsum(size) - size), size)
-    pairs = flat[first + np.arange(int(size.sum()))]
+    size = al.counts[of, 3]
+    first = np.repeat(al.starts[of] - (np.cumsum(size) - size), size)
+    pairs = al.links[first + np.arange(int(size.sum()))].astype(np.int64)
     docs, links = np.repeat(docs, size), np.repeat(n, size)
     order = np.lexsort((pairs, docs))
     docs, pairs, links = docs[order], pairs[order], links[order]
@@ -215,7 +245,7 @@ def align_blocks(docs: DataFrame, a_path: str, b_path: str, texts: bool = False)
         al = aligner(a_path, b_path)
         names = [x.strip().split()[0] for x in schema.split(", ")]
         task, made = TaskContext.get().partitionId(), 0
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # pairs, places, links
         rows = entries = 0
         out = None
 
@@ -249,27 +279,21 @@ def align_blocks(docs: DataFrame, a_path: str, b_path: str, texts: bool = False)
                 if rows + part.num_rows > BLOCK_ROWS or entries > BLOCK_LINKS:
                     yield from close()
                     held, rows, entries, made = [], 0, 0, made + 1
-                if al.kept > KEEP:
+                if len(al.known) > KEEP:
                     al.forget()
-                cols: dict[str, list] = {c: [] for c in ("n_a", "n_b", "n_groups", "n_links", "groups")}
-                who, used = [], []
-                for place, text in enumerate(part.column("text").to_pylist(), rows):
-                    cut = al.pieces(text)
-                    counted = [al.counts[i] for i in cut]
-                    if not cut or not all(c[3] for c in counted):
-                        cut, counted = [], []
-                    groups = ";".join([al.texts[i] for i in cut])
-                    cols["n_a"].append(sum([c[0] for c in counted]))
-                    cols["n_b"].append(sum([c[1] for c in counted]))
-                    cols["n_groups"].append(sum([c[2] for c in counted]))
-                    cols["n_links"].append(sum([len(al.links[i]) for i in cut]))
-                    cols["groups"].append(groups if texts or not groups else hashlib.sha256(groups.encode()).hexdigest())
-                    who.append(np.full(len(cut), place, dtype=np.int64))
-                    used.append(np.array(cut, dtype=np.int64))
-                places, pairs, links = _expand(np.concatenate(who), np.concatenate(used), al)
-                held.append((pairs, places, links))
-                entries += len(pairs)
+                cuts = [al.pieces(text) for text in part.column("text").to_pylist()]
                 n = part.num_rows
+                who = np.repeat(np.arange(n), [len(x) for x in cuts])
+                used = np.fromiter(itertools.chain.from_iterable(cuts), np.int64, len(who))
+                # A document with a piece that its tokens do not spell has no tokens at all.
+                good = np.bincount(who, 1 - al.counts[used, 4], n) == 0
+                who, used = who[good[who]], used[good[who]]
+                cols = {c: np.bincount(who, al.counts[used, k], n).astype(np.int64) for k, c in enumerate(("n_a", "n_b", "n_groups", "n_links"))}
+                groups = [";".join(map(al.texts.__getitem__, x)) if ok else "" for x, ok in zip(cuts, good.tolist(), strict=True)]
+                cols["groups"] = groups if texts else [g and hashlib.sha256(g.encode()).hexdigest() for g in groups]
+                places, pairs, links = _expand(who, used, al)
+                held.append((pairs, places + rows, links))
+                entries += len(pairs)
                 yield record(kind=["doc"] * n, block=[task << 32 | made] * n, place=range(rows, rows + n), doc_id=part.column("doc_id"), **cols)
                 rows += n
         if held:
