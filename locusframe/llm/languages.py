@@ -44,13 +44,14 @@ def trigram_counts(labelled: DataFrame) -> DataFrame:
     """
 
     def count(batches):
-        words: Counter[tuple[str, str]] = Counter()
+        words: dict[str, Counter[str]] = {}
 
         def rows():
             grams: Counter[tuple[str, int]] = Counter()
-            for (lang, word), n in words.items():
-                for gram in word_grams(word):
-                    grams[lang, gram] += n
+            for lang, found in words.items():
+                for word, n in found.items():
+                    for gram in word_grams(word):
+                        grams[lang, gram] += n
             return pa.RecordBatch.from_arrays(
                 [pa.array([x for x, _ in grams], pa.string()), pa.array([x for _, x in grams], pa.int32()), pa.array(list(grams.values()), pa.int64())],
                 names=["lang", "gram", "n"],
@@ -59,11 +60,11 @@ def trigram_counts(labelled: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, 512):
                 for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    for word, n in Counter(LETTERS.findall(text.lower())).items() if text else ():
-                        words[lang, word] += n
-                if len(words) > HELD:
+                    if text:
+                        words.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
+                if sum(map(len, words.values())) > HELD:
                     yield rows()
-                    words = Counter()
+                    words = {}
         if words:
             yield rows()
 
