@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from locusframe.operators.ordered import bucket_hot_groups, ranked, with_neighbour, with_running_sum
+from locusframe.operators.ordered import collapse_runs, consecutive, rank_in_order
 from locusframe.session import materialize
 
 TARGET_BINS = 1024
@@ -34,30 +35,15 @@ def merge_adjacent(
 
     ``require_touching`` merges only rows that meet end to start.
     """
-    placed = bucket_hot_groups(df, group, "start")
-    seen = with_neighbour(placed, group, "bucket", order, [*origin, "end"], "prev")
-    same = F.col("prev").isNotNull()
-    for name in origin:
-        same = same & F.col(name).eqNullSafe(F.col(f"prev.{name}"))
-    if require_touching:
-        same = same & (F.col("prev.end") == F.col("start"))
-    runs = with_running_sum(
-        seen.withColumn("new_run", F.when(same, 0).otherwise(1)), group, "bucket", order, "new_run", "run"
-    )
-    return runs.groupBy(*group, "run", *origin).agg(
-        F.min("start").alias("start"), F.max_by("end", F.struct(*order)).alias("end")
-    ).drop("run")
+    touch = (lambda before, after: pc.equal(before.column("end").combine_chunks(), after.column("start").combine_chunks())) if require_touching else None
+    order = [*order, *[c for c in ("end", *origin) if c not in order]]
+    return collapse_runs(df, group, order, origin, {"start": "min", "end": "last"}, touch)
 
 
 def elementary_intervals(df: DataFrame, group: Sequence[str]) -> DataFrame:
     """[p, next p) between consecutive distinct endpoints of each group."""
     points = df.select(*group, F.explode(F.array("start", "end")).alias("start")).distinct()
-    placed = bucket_hot_groups(points, group, "start")
-    return (
-        with_neighbour(placed, group, "bucket", ["start"], ["start"], "following", ahead=True)
-        .where("following IS NOT NULL")
-        .select(*group, "start", F.col("following.start").alias("end"))
-    )
+    return consecutive(points, group, "start", "end")
 
 
 def _cover(first: Column, last: Column) -> Column:
@@ -96,10 +82,7 @@ def overlay(
         df.where("end > start").groupBy(*group, "start", "end").agg(best(entry).alias("entry")), "overlay-rows"
     )
     points = rows.select(*group, F.explode(F.array("start", "end")).alias("point")).distinct()
-    points = bucket_hot_groups(points, group, "point")
-    points = materialize(
-        ranked(points, group, "bucket", ["point"]).select(*group, "point", "rank"), "overlay-points"
-    )
+    points = materialize(rank_in_order(points, group, ["point"]), "overlay-points")
     low = points.select(*group, F.col("point").alias("start"), F.col("rank").alias("first"))
     high = points.select(*group, F.col("point").alias("end"), F.col("rank").alias("last"))
     blocks = (
@@ -198,15 +181,12 @@ def mrca_by_age(intervals: DataFrame, eps: float = 1e-8) -> DataFrame:
     ages = intervals.groupBy("rep", "age").agg(
         F.sum(F.col("upper") - F.col("lower")).alias("length"), F.count(F.lit(1)).alias("n")
     )
-    ages = bucket_hot_groups(materialize(ages, "ages"), ["rep"], "age")
-    seen = with_neighbour(ages, ["rep"], "bucket", ["age"], ["age"], "prev")
-    fresh = F.when(F.col("age") - F.col("prev.age") < eps, 0).otherwise(1)
-    runs = with_running_sum(seen.withColumn("fresh", fresh), ["rep"], "bucket", ["age"], "fresh", "run")
-    return (
-        runs.groupBy("rep", "run")
-        .agg(F.min("age").alias("age"), F.sum("length").alias("length"), F.sum("n").alias("num_ints"))
-        .drop("run")
+    close = lambda before, after: pc.less(
+        pc.subtract(after.column("age").combine_chunks(), before.column("last").combine_chunks()), eps
     )
+    ages = materialize(ages.select("rep", "age", F.col("age").alias("last"), "length", "n"), "ages")
+    runs = collapse_runs(ages, ["rep"], ["age"], [], {"age": "min", "last": "last", "length": "sum", "n": "sum"}, close)
+    return runs.select("rep", "age", "length", F.col("n").alias("num_ints"))
 
 
 def mrca_summary(by_age: DataFrame) -> DataFrame:

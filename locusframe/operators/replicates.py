@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from locusframe.functions.scalars import Z_95, exponential_cdf, truncated_exponential_cdf
-from locusframe.operators.ordered import bucket_hot_groups, ranked
-from locusframe.session import materialize
+from locusframe.operators.ordered import rank_in_order
 
 # Coefficients of the KS critical value at 5 % and 1 %.
 KS_05, KS_01 = 1.36, 1.63
@@ -82,15 +81,12 @@ def invariant_violations(replicates: DataFrame, floor: Column, slack: float = 0.
 def empirical_cdf(replicates: DataFrame) -> DataFrame:
     """(scenario, metric, copies, rank, n, cdf) with one row per distinct value.
 
-    Equal values are counted before anything is sorted, and a scenario with
-    many distinct values is ranked in value ranges.
+    Equal values are counted before anything is sorted, and values are ranked in ranges.
     """
     values = replicates.where("metric IS NOT NULL").groupBy("scenario", "metric").agg(F.count(F.lit(1)).alias("copies"))
-    values = bucket_hot_groups(materialize(values, "values"), ["scenario"], "metric")
-    placed = ranked(values, ["scenario"], "bucket", ["metric"], weight="copies")
-    return placed.withColumnRenamed("group_size", "n").withColumn(
-        "cdf", (F.col("rank") + F.col("copies")) / F.col("n")
-    )
+    placed = rank_in_order(values, ["scenario"], ["metric"], weight="copies")
+    sizes = placed.groupBy("scenario").agg(F.sum("copies").alias("n"))
+    return placed.join(sizes, "scenario").withColumn("cdf", (F.col("rank") + F.col("copies")) / F.col("n"))
 
 
 def ks_statistic(cdf: DataFrame, theta: Column, tau: Column | None = None, two_sided: bool = False) -> DataFrame:

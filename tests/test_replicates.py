@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from locusframe.functions import scalars as S
 from locusframe.functions.newick import canonical, node_rows
-from locusframe.operators import ordered as O
 from locusframe.operators import replicates as R
 from locusframe.operators import trees as T
 from locusframe.plans.topology import topology_report
@@ -33,9 +32,8 @@ def test_summary(spark, times):
     assert got["a"].passed and not got["b"].passed
 
 
-def test_ks_and_percentiles(times, monkeypatch):
+def test_ks_and_percentiles(times):
     data, df = times
-    monkeypatch.setattr(R, "bucket_hot_groups", lambda d, g, o: O.bucket_hot_groups(d, g, o, rows=20))
     cdf = R.empirical_cdf(df)
     theta, tau = 100.0, 150.0
     two = {r.scenario: r for r in R.ks_statistic(cdf, F.lit(theta), two_sided=True).collect()}
