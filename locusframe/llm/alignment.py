@@ -118,6 +118,12 @@ class Aligner:
         self.links = np.zeros(4096, dtype=np.uint32)
         self.n_links = 0
 
+    def _a_ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of the first tokenizer; plain pieces go to its model as they are."""
+        found = [self.a.plain_ids(p) for p in pieces]
+        others = iter(self.a.encode([p for p, ids in zip(pieces, found, strict=True) if ids is None]))
+        return [next(others) if ids is None else ids for ids in found]
+
     def _b_ids(self, pieces: list[str]) -> list[list[int]]:
         """Ids of the second tokenizer, without the blank that it adds to a piece that starts with none."""
         # A blank is left to the tokenizer; a sign follows a letter, as it does in the text.
@@ -134,7 +140,7 @@ class Aligner:
 
     def learn(self, pieces: list[str]) -> None:
         """Align pieces that are not known yet, all in one pass over their joined bytes."""
-        a_all = [np.frombuffer(x, "<u4") for x in self.a.encode(pieces)]
+        a_all = [np.frombuffer(x, "<u4") for x in self._a_ids(pieces)]
         b_all = self._b_ids(pieces)
         raw = [p.encode() for p in pieces]
         counts = np.zeros((len(pieces), 5), dtype=np.int64)
@@ -180,16 +186,13 @@ class Aligner:
         self.n_links += len(links)
         self.known.update(zip(pieces, range(first, last), strict=True))
 
-    def pieces(self, text: str | None) -> list[int]:
-        """Numbers of the known pieces of a text; none for an empty one."""
-        if not text:
-            return []
-        text = " " + text
-        cut = [text] if OTHER_SPACE.search(text) else self.cut.findall(text)
-        new = list(set(cut).difference(self.known))
-        for at in range(0, len(new), 8192):
-            self.learn(new[at : at + 8192])
-        return list(map(self.known.__getitem__, cut))
+    def pieces(self, texts: list[str | None]) -> list[list[int]]:
+        """Numbers of the known pieces of each text; none for an empty one."""
+        cuts = [[] if not t else [" " + t] if OTHER_SPACE.search(t) else self.cut.findall(" " + t) for t in texts]
+        new = list(set().union(*cuts).difference(self.known))
+        for at in range(0, len(new), 16_384):
+            self.learn(new[at : at + 16_384])
+        return [list(map(self.known.__getitem__, cut)) for cut in cuts]
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
@@ -281,7 +284,7 @@ def align_blocks(docs: DataFrame, a_path: str, b_path: str, texts: bool = False)
                     held, rows, entries, made = [], 0, 0, made + 1
                 if len(al.known) > KEEP:
                     al.forget()
-                cuts = [al.pieces(text) for text in part.column("text").to_pylist()]
+                cuts = al.pieces(part.column("text").to_pylist())
                 n = part.num_rows
                 who = np.repeat(np.arange(n), [len(x) for x in cuts])
                 used = np.fromiter(itertools.chain.from_iterable(cuts), np.int64, len(who))

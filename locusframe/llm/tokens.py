@@ -85,6 +85,10 @@ class Encoder:
                 known[part] = struct.pack(f"<{len(ids)}I", *ids)
         return known[body] + known[signs] if len(parts) == 2 else known[piece]
 
+    def plain_ids(self, piece: str) -> bytes | None:
+        """Ids of a plain piece if such pieces may go to the model as they are, else None."""
+        return self._plain(piece) if self.direct else None
+
     def _learn(self, pieces: list[str]) -> None:
         """Add pieces to the known ones: plain ones by the model, the others many in one call."""
         known, others = self.known, []
