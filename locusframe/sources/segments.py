@@ -9,6 +9,7 @@ from locusframe.operators.ordered import with_running_last
 from locusframe.sources.text import Paths, blank_or_comment, numbered_lines, tokens, write_sorted
 
 FOUNDERS_PREFIX = "# Founders:"
+CHROMOSOMES_PREFIX = "# Chromosomes:"
 SEGMENT = r"^\s*([0-9.eE+-]+)\s+([0-9.eE+-]+)\s+(\S+)"
 
 
@@ -27,6 +28,16 @@ def read_founders(spark: SparkSession, path: Paths) -> DataFrame:
     return first.select("founder", (F.row_number().over(Window.orderBy("place")) - 1).alias("ord"))
 
 
+def read_segment_header(spark: SparkSession, path: Paths) -> DataFrame:
+    """(file, n_chroms, rec_rate, seed) from the first chromosomes line of each file; a part that is not there is null."""
+    named = numbered_lines(spark, path, F.col("value").startswith(CHROMOSOMES_PREFIX))
+    heads = named.groupBy("file").agg(F.min_by("value", "line_no").alias("value"))
+    part = lambda label, kind: F.regexp_extract("value", label + r":\s*([0-9.eE+-]+)", 1).try_cast(kind)
+    return heads.select(
+        "file", part("Chromosomes", "int").alias("n_chroms"), part("RecRate", "double").alias("rec_rate"), part("Seed", "bigint").alias("seed")
+    )
+
+
 def read_segments(spark: SparkSession, path: Paths) -> DataFrame:
     """One row per segment line, numbered within its homolog.
 
@@ -84,8 +95,15 @@ def _under_headings(spark: SparkSession, path: Paths) -> tuple[DataFrame, Column
     return placed, homolog_here, chrom_here
 
 
-def write_segments(segments: DataFrame, founders: DataFrame, path: str) -> None:
-    """The same layout, one row per output line and no grouping by individual."""
+def write_segments(
+    segments: DataFrame, founders: DataFrame, path: str, n_chroms: int | None = None, rec_rate: float | None = None, seed: int | None = None
+) -> None:
+    """The same layout, one row per output line and no grouping by individual.
+
+    The header names the founders and, if any of the last three is given, the
+    number of chromosomes (the highest one of ``segments`` if not given), the
+    rate and the seed.
+    """
     i = lambda n: F.lit(n)
     keys = ["part", "ind", "chrom", "homolog", "seq"]
     named = founders.agg(
@@ -95,6 +113,13 @@ def write_segments(segments: DataFrame, founders: DataFrame, path: str) -> None:
         i(0).alias("part"), i("").alias("ind"), i(0).alias("chrom"), i(0).alias("homolog"), i(0).alias("seq"),
         F.concat_ws(" ", i(FOUNDERS_PREFIX), F.col("names")).alias("value"),
     )
+    known = [f"RecRate: {rec_rate:.6f}"] if rec_rate is not None else []
+    known += [f"Seed: {seed}"] if seed is not None else []
+    count = segments.agg(F.coalesce(F.lit(n_chroms).cast("int"), F.max("chrom").cast("int"), F.lit(0)).alias("n"))
+    chromosomes = count.select(
+        i(0).alias("part"), i("").alias("ind"), i(0).alias("chrom"), i(0).alias("homolog"), i(-1).alias("seq"),
+        F.concat_ws(" ", i(CHROMOSOMES_PREFIX), F.col("n").cast("string"), *[i(x) for x in known]).alias("value"),
+    )
     people = segments.select("ind").distinct().select(
         i(1).alias("part"), "ind", i(-1).alias("chrom"), i(-1).alias("homolog"), i(-1).alias("seq"),
         F.concat(i("Individual: "), F.col("ind")).alias("value"),
@@ -113,5 +138,7 @@ def write_segments(segments: DataFrame, founders: DataFrame, path: str) -> None:
             "    %.6f %.6f %s:%s", "start", "end", "founder", F.when(F.col("f_homolog") == 1, "mat").otherwise("pat")
         ).alias("value"),
     )
+    if known or n_chroms is not None:
+        head = chromosomes.unionByName(head)
     rows = head.unionByName(people).unionByName(chroms).unionByName(sides).unionByName(body)
     write_sorted(rows, path, keys)

@@ -242,3 +242,20 @@ def test_trees_and_logs(spark, text_file, tmp_path):
     got = rows(trees.read_replicate_logs(spark, str(logs)), "tmrca", "recomb", "mutations", "num_mrcas", "youngest_tmrca", "final_time")
     assert got == sorted([(812.5, 3, 14, 2, 4.0, None), (None, None, None, None, None, 55.25)], key=repr)
     assert rows(trees.read_time_rows(spark, str(logs)), "tmrca", "tree_length") == [(1.5, 4.25), (2.5, 6.0)]
+
+
+def test_segment_header_is_written_and_read(spark, tmp_path):
+    rows_in = [("a", 1, 0, 1, 0.0, 1.0, "f", 0), ("a", 3, 1, 1, 0.0, 1.0, "g", 1)]
+    table = spark.createDataFrame(rows_in, "ind string, chrom int, homolog int, seq int, start double, end double, founder string, f_homolog int")
+    founders = spark.createDataFrame([("f", 0), ("g", 1)], "founder string, ord int")
+    cases = {"known": dict(n_chroms=5, rec_rate=1.5, seed=42), "seeded": dict(seed=7), "plain": {}}
+    for name, options in cases.items():
+        segments.write_segments(table, founders, str(tmp_path / name), **options)
+    head = lambda name: [tuple(r)[1:] for r in segments.read_segment_header(spark, str(tmp_path / name)).collect()]
+    assert head("known") == [(5, 1.5, 42)] and head("seeded") == [(3, None, 7)] and head("plain") == []
+    text = "".join(p.read_text() for p in sorted((tmp_path / "known").glob("part-*"))).splitlines()
+    assert text[:2] == ["# Chromosomes: 5 RecRate: 1.500000 Seed: 42", "# Founders: f g"]
+    back = segments.read_segments(spark, str(tmp_path / "known"))
+    assert sorted(map(tuple, back.collect())) == rows_in
+    assert segments.segment_rejects(spark, str(tmp_path / "known")).count() == 0
+    assert [r.founder for r in segments.read_founders(spark, str(tmp_path / "known")).orderBy("ord").collect()] == ["f", "g"]
