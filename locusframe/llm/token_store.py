@@ -230,8 +230,12 @@ def lookup(keys: DataFrame, root: str) -> DataFrame:
     return _hashed(keys.select("doc_id", "copy"), classes).groupBy("class").applyInPandas(find, MANIFEST)
 
 
-def read_ids(places: DataFrame, root: str) -> DataFrame:
-    """``places`` (as ``lookup`` gives them) with ``ids``, read from the shards in file order."""
+def read_ids(places: DataFrame, root: str, checksum: bool = False) -> DataFrame:
+    """``places`` (as ``lookup`` gives them) with ``ids``, read from the shards in file order.
+
+    With ``checksum`` their number ``n_read`` and ``ids_crc32`` (of little-endian
+    unsigned 32-bit integers) stand for the ids, which then stay in the task.
+    """
 
     def rows(batches):
         number, handle, width = None, None, 0
@@ -252,14 +256,19 @@ def read_ids(places: DataFrame, root: str) -> DataFrame:
                         at = HEADER_SIZE + offset * width
                         if handle.tell() != at:
                             handle.seek(at)
-                        found.append(np.frombuffer(handle.read(n * width), dtype={2: "<u2", 4: "<u4"}[width]).astype("<i4"))
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.list_(pa.int32()))], names=[*part.schema.names, "ids"])
+                        ids = np.frombuffer(handle.read(n * width), dtype={2: "<u2", 4: "<u4"}[width])
+                        found.append((len(ids), zlib.crc32(ids.astype("<u4"))) if checksum else ids.astype("<i4"))
+                    if checksum:
+                        new = {name: pa.array([x[k] for x in found], pa.int64()) for k, name in enumerate(("n_read", "ids_crc32"))}
+                    else:
+                        new = {"ids": pa.array(found, pa.list_(pa.int32()))}
+                    yield pa.RecordBatch.from_arrays([*part.columns, *new.values()], names=[*part.schema.names, *new])
         finally:
             if handle:
                 handle.close()
 
     in_order = places.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")
-    return in_order.mapInArrow(rows, MANIFEST + ", ids array<int>")
+    return in_order.mapInArrow(rows, MANIFEST + (", n_read bigint, ids_crc32 bigint" if checksum else ", ids array<int>"))
 
 
 def shard_starts(spark: SparkSession, root: str) -> DataFrame:
@@ -279,17 +288,7 @@ def store_digest(docs: DataFrame, tokenizer: str, end_id: int = 1, root: str | N
     root = root or f"{shared_folder(spark)}/locusframe/tokens-{uuid.uuid4().hex}"
     write_store(docs, root, tokenizer, end_id)
     keys = docs.groupBy("doc_id").count().select("doc_id", F.explode(F.sequence(F.lit(0), F.col("count").cast("int") - 1)).alias("copy"))
-    found = read_ids(lookup(keys, root), root)
-
-    def digest(batches):
-        for batch in batches:
-            ids = batch.column("ids")
-            flat, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
-            crc = [zlib.crc32(flat[a:b].astype("<u4").tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in ("doc_id", "shard", "offset")] + [pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64())],
-                names=["doc_id", "shard", "offset", "n_tokens", "ids_crc32"],
-            )
-
-    made = found.mapInArrow(digest, "doc_id bigint, shard int, offset bigint, n_tokens bigint, ids_crc32 bigint")
-    return made.join(shard_starts(spark, root), "shard").select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
+    made = read_ids(lookup(keys, root), root, checksum=True)
+    return made.join(shard_starts(spark, root), "shard").select(
+        "doc_id", (F.col("base") + F.col("offset")).alias("start"), F.col("n_read").alias("n_tokens"), "ids_crc32"
+    )
