@@ -24,7 +24,9 @@ DISCOUNT = 3.0
 ALIKE = 3.0
 #: The most that one pair can say, so that a copied passage does not outweigh a text.
 MOST = 3.0
-#: Expressions with evidence that are broadcast; more of them are joined to the texts.
+#: Occurrences in a class below which a pair is all discount: n > DISCOUNT * sqrt(n) + 1 needs 11.
+LEAST = 11
+#: Expressions (frequent pairs; words and pairs with evidence) that are broadcast; more of them are joined to the texts.
 BROADCAST_ROWS = 2_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -63,29 +65,92 @@ def gather(documents) -> np.ndarray:
     """Distinct rows (class, word two before, word before, word) of some documents."""
     rows = [np.stack([np.full(len(h), label, dtype=np.uint64), _before(h, 2), _before(h, 1), h], axis=1) for label, h in documents]
     rows = np.concatenate([np.zeros((0, 4), dtype=np.uint64), *rows])
+    return _grouped(rows)[0]
+
+
+def _grouped(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows in order, and the places of their first ones among the sorted rows."""
     if not len(rows):
-        return rows
+        return rows, np.zeros(0, dtype=np.int64)
     rows = rows[np.lexsort(rows.T)]
-    return rows[np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])]
+    first = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)]))
+    return rows[first], first
+
+
+def tally(documents) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows (class, word before, word) of some documents, and how often each occurs."""
+    rows = [np.stack([np.full(len(h), label, dtype=np.uint64), _before(h, 1), h], axis=1) for label, h in documents]
+    rows = np.concatenate([np.zeros((0, 3), dtype=np.uint64), *rows])
+    found, first = _grouped(rows)
+    return found, np.diff(np.append(first, len(rows)))
+
+
+class Pairs:
+    """A set of pairs of word hashes, looked up by whole pairs."""
+
+    def __init__(self, before: np.ndarray, word: np.ndarray):
+        key = _pairs(word, before)
+        order = np.argsort(key)
+        self.key, self.before, self.word = key[order], before[order], word[order]
 
+    def has(self, before: np.ndarray, word: np.ndarray) -> np.ndarray:
+        if not len(self.key):
+            return np.zeros(len(word), dtype=bool)
+        at = np.minimum(np.searchsorted(self.key, _pairs(word, before)), len(self.key) - 1)
+        return (self.before[at] == before) & (self.word[at] == word)
 
-def count_expressions(rows: DataFrame) -> DataFrame:
-    """(before, word, n0, n1) of ``rows`` (toxic, text): distinct words before each pair, per class.
 
+def _documents(part):
+    """(class, text) of the rows of an Arrow batch."""
+    return zip(part.column("toxic").to_pylist(), part.column("text").to_pylist(), strict=True)
+
+
+def count_expressions(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """(before, word, n0, n1) of the pairs in ``rows`` (toxic, text), per class.
+
+    ``n0`` and ``n1`` count the distinct words before a pair that occurs LEAST
+    times or more in a class. A rarer pair can have no more of them than it has
+    occurrences, which its discount covers whole, so it stands with those. Only
+    the frequent pairs are counted with the words before them: up to ``most`` of
+    them are broadcast to a second scan of the texts, more are joined to it.
     Distinct words are grouped before they are counted, so a hot pair is no hot key.
     """
 
+    def occurrences(batches):
+        hasher = Hasher()
+        for batch in batches:
+            for part in slices(batch, 2048):
+                found, n = tally((y, hasher(t)) for y, t in _documents(part))
+                toxic = found[:, 0] == 1
+                before, word = found[:, 1:].T.copy().view(np.int64)
+                n0, n1 = (pa.array(np.where(own, n, 0).astype(np.int32)) for own in (~toxic, toxic))
+                yield pa.RecordBatch.from_arrays([pa.array(before), pa.array(word), n0, n1], names=["before", "word", "n0", "n1"])
+
+    seen = rows.select("toxic", "text").mapInArrow(occurrences, "before bigint, word bigint, n0 int, n1 int")
+    seen = materialize(seen.groupBy("before", "word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "pairs")
+    often = F.greatest("n0", "n1") >= LEAST
+    frequent = materialize(seen.where(often).select("before", "word"), "frequent-pairs")
+    known = None
+    if frequent.count() <= most:
+        columns = (np.asarray(c, dtype=np.int64).view(np.uint64) for c in frequent.toArrow().columns)
+        known = rows.sparkSession.sparkContext.broadcast(Pairs(*columns))
+
     def expressions(batches):
         hasher = Hasher()
         for batch in batches:
             for part in slices(batch, 512):
-                found = gather((y, hasher(t)) for y, t in zip(part.column("toxic").to_pylist(), part.column("text").to_pylist(), strict=True))
+                found = gather((y, hasher(t)) for y, t in _documents(part))
+                if known is not None:
+                    found = found[known.value.has(found[:, 2], found[:, 3])]
                 found = found.T.copy().view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["toxic", "far", "before", "word"])
 
     found = rows.select("toxic", "text").mapInArrow(expressions, "toxic bigint, far bigint, before bigint, word bigint")
+    if known is None:
+        found = found.join(frequent, ["before", "word"], "left_semi")
     kinds = found.groupBy("far", "before", "word").agg(F.max(1 - F.col("toxic")).alias("c0"), F.max("toxic").alias("c1"))
-    return kinds.groupBy("before", "word").agg(F.sum("c0").alias("n0"), F.sum("c1").alias("n1"))
+    counted = kinds.groupBy("before", "word").agg(F.sum("c0").alias("n0"), F.sum("c1").alias("n1"))
+    return seen.where(~often).unionByName(materialize(counted, "counted-pairs"))
 
 
 def _split(table: DataFrame, scale: list[float]) -> DataFrame:
@@ -108,26 +173,25 @@ def learn_evidence(pairs: DataFrame) -> DataFrame:
     continuation count, which copies of a passage do not raise. Pairs count in
     the same way. The larger class is scaled to the size of the smaller. Each
     class backs off from pairs to words, and from words to one distribution, the
-    pooled discounts of both. All counts are exact and stay tables keyed by the
-    words' hashes; only sums come to the driver.
+    pooled discounts of both. Counts stay tables keyed by the words' hashes; only
+    sums come to the driver. Pairs are scaled like words, by the distinct pairs
+    of the classes, as rare pairs have no counts of the words before them.
     """
-    pairs = materialize(pairs, "pairs")
     words = pairs.groupBy("word").agg(*(F.sum((F.col(f"n{c}") > 0).cast("long")).alias(f"n{c}") for c in (0, 1)))
     words = materialize(words, "words")
-    sums = [t.agg(F.coalesce(F.sum("n0"), F.lit(0)), F.coalesce(F.sum("n1"), F.lit(0)), F.count(F.lit(1))).first() for t in (words, pairs)]
+    *sums, kinds = words.agg(F.coalesce(F.sum("n0"), F.lit(0)), F.coalesce(F.sum("n1"), F.lit(0)), F.count(F.lit(1))).first()
     schema = "word bigint, before bigint, ratio double"
-    if min(sums[0][:2]) == 0:  # a class without words: nothing to compare
+    if min(sums) == 0:  # a class without words: nothing to compare
         return pairs.sparkSession.createDataFrame([], schema)
-    size = float(min(sums[0][:2]))
-    words = _split(words, [size / x for x in sums[0][:2]])
+    size = float(min(sums))
+    words = _split(words, [size / x for x in sums])
     mass = words.agg(F.sum("k0"), F.sum("k1")).first()
     # Divided by the class's backoff weight: an expression that backs off in both classes has ratio 1.
-    shared = (F.col("g0") + F.col("g1") + 0.5) / (2 * size - sum(mass) + 0.5 * sums[0][2])
+    shared = (F.col("g0") + F.col("g1") + 0.5) / (2 * size - sum(mass) + 0.5 * kinds)
     words = words.withColumns({f"p{c}": F.col(f"k{c}") / size / max(1.0 - mass[c] / size, 1e-9) + shared for c in (0, 1)})
     alone = words.where("k0 > 0 OR k1 > 0").select("word", F.lit(None).cast("long").alias("before"), (F.log("p1") - F.log("p0")).alias("ratio"))
 
-    most = float(min(sums[1][:2]))
-    known = _split(pairs, [most / x for x in sums[1][:2]]).where("k0 > 0 OR k1 > 0").select("before", "word", "k0", "k1")
+    known = _split(pairs, [size / x for x in sums]).where("k0 > 0 OR k1 > 0").select("before", "word", "k0", "k1")
     known = known.join(words.select("word", "p0", "p1"), "word")
     known = known.join(words.select(F.col("word").alias("before"), (F.col("s0") + F.col("s1")).alias("context")), "before", "left")
     share = [F.col(f"k{c}") / (F.coalesce("context", F.lit(0.0)) + F.col("k0") + F.col("k1") + 1.0) for c in (0, 1)]

@@ -339,6 +339,21 @@ def test_toxicity_counts_are_exact(spark):
     assert small == joined and len(small) == 5 and small[0][2] > 0
 
 
+def test_toxicity_pairs_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(i % 3 == 0), " ".join(f"w{x}" for x in rng.zipf(1.4, 60) % 40)) for i in range(300)] + [(1, None), (0, "")]
+    far, often = {}, {}
+    for y, text in rows:
+        words = ["", "", *(text or "").split()]
+        for c, b, w in zip(words, words[1:], words[2:], strict=False):
+            far.setdefault((b, w), (set(), set()))[y].add(c)
+            often.setdefault((b, w), [0, 0])[y] += 1
+    want = sorted(tuple(map(len, far[p])) if max(n) >= toxicity.LEAST else tuple(n) for p, n in often.items())
+    df = spark.createDataFrame(rows, "toxic int, text string")
+    for most in (1_000_000, 0):  # broadcast, joined
+        assert sorted((r.n0, r.n1) for r in toxicity.count_expressions(df, most).collect()) == want
+
+
 def test_toxic_words_share_no_bucket(spark):
     rows = [(y, f"p{i} {'mean' if y else 'kind'}{w}") for y in (0, 1) for w in range(2000) for i in range(40)]
     evidence = toxicity.learn_evidence(toxicity.count_expressions(spark.createDataFrame(rows, "toxic int, text string")))
