@@ -78,8 +78,22 @@ def weak_parts(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, i
     return kept
 
 
-def _near(a: np.ndarray, b: np.ndarray, scope: int) -> np.ndarray:
-    """For each interval of ``a``, whether an interval of ``b`` lies within ``scope`` of it.
+#: A blank line; the line break that ends it may begin the next one.
+BLANK = re.compile(r"\n[\x20\t\x0B-\x0D]*(?=\n)")
+
+
+def _scopes(text: str, parts: np.ndarray, scope: int) -> np.ndarray:
+    """The paragraph of each (start, end), between blank lines, widened by ``scope`` on both sides."""
+    blank = np.array([m.span() for m in BLANK.finditer(text)], dtype=np.int64).reshape(-1, 2)
+    first = np.concatenate([[0], blank[:, 1] + 1])
+    last = np.concatenate([blank[:, 0], [len(text)]])
+    starts = first[np.searchsorted(blank[:, 1], parts[:, 0], "right")]
+    ends = last[np.searchsorted(blank[:, 0], parts[:, 1], "left")]
+    return np.stack([starts - scope, ends + scope], axis=1)
+
+
+def _touches(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each interval of ``a``, whether an interval of ``b`` meets it.
 
     Sorted starts and running furthest ends answer each row by one binary
     search, so a text with very many parts costs no pairs.
@@ -88,30 +102,33 @@ def _near(a: np.ndarray, b: np.ndarray, scope: int) -> np.ndarray:
         return np.zeros(len(a), dtype=bool)
     b = b[np.argsort(b[:, 0], kind="stable")]
     reach = np.maximum.accumulate(b[:, 1])
-    at = np.searchsorted(b[:, 0], a[:, 1] + scope, "right") - 1
-    return (at >= 0) & (reach[np.maximum(at, 0)] + scope >= a[:, 0])
+    at = np.searchsorted(b[:, 0], a[:, 1], "right") - 1
+    return (at >= 0) & (reach[np.maximum(at, 0)] >= a[:, 0])
 
 
 def linked(text: str, base: list[tuple[int, int, str]], scope: int) -> list[tuple[int, int, str]]:
-    """Weak parts whose complement lies in their scope.
-
-    A scope is a part widened by ``scope`` characters on both sides; paragraphs
-    are not looked at. An identifier needs a secret; a secret needs an
-    identifier or an endpoint; an endpoint needs a secret. Base spans complete
-    weak parts: ``access`` is an identifier, ``assign`` and ``hex`` are secrets.
+    """Weak parts that share a scope with their complement.
+
+    The scope of a part is its paragraph (between blank lines, the whole text
+    where there are none) widened by ``scope`` characters on both sides; two
+    parts share one if either lies, wholly or partly, in that of the other. An
+    identifier needs a secret; a secret needs an identifier or an endpoint; an
+    endpoint needs a secret. Base spans complete weak parts: ``access`` is an
+    identifier, ``assign`` and ``hex`` are secrets.
     """
     weak = weak_parts(text, base)
     if not weak:
         return []
     role = {"access": "id", "assign": "secret", "hex": "secret", "linked_id": "id", "linked_secret": "secret", "linked_endpoint": "endpoint"}
     of = {r: np.array([(s, e) for s, e, k in (*base, *weak) if role[k] == r], dtype=np.int64).reshape(-1, 2) for r in ("id", "secret", "endpoint")}
+    scopes = {r: _scopes(text, x, scope) for r, x in of.items()}
     out = []
     for kind, complements in (("linked_id", ("secret",)), ("linked_secret", ("id", "endpoint")), ("linked_endpoint", ("secret",))):
         own = [p for p in weak if p[2] == kind]
         a = np.array([(s, e) for s, e, _ in own], dtype=np.int64).reshape(-1, 2)
-        hit = np.zeros(len(own), dtype=bool)
+        around, hit = _scopes(text, a, scope), np.zeros(len(own), dtype=bool)
         for c in complements:
-            hit |= _near(a, of[c], scope)
+            hit |= _touches(around, of[c]) | _touches(a, scopes[c])
         out += [p for p, yes in zip(own, hit, strict=True) if yes]
     return out
 
@@ -124,7 +141,7 @@ def scan_secrets(docs: DataFrame, scope: int = 200) -> DataFrame:
     """``docs`` with ``secret_spans``, an array of (kind, start, end), in code points, end exclusive.
 
     Base kinds are always reported; weak kinds only where complementary parts
-    lie within ``scope`` characters of each other (see ``linked``). Texts are
+    share a paragraph widened by ``scope`` characters (see ``linked``). Texts are
     scanned whole, with no shuffle; parts of one text are joined by interval
     with sorted search.
 
