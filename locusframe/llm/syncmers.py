@@ -14,9 +14,7 @@ from locusframe.llm.common import let
 
 # The units, k units in an anchor, two units in its inner substrings.
 UNIT = r"[\p{L}\p{N}]{1,3}|[^\p{L}\p{N}\s]"
-K = 4
-#: Hashes kept of a text, the smallest ones, so that texts of any length compare.
-SKETCH = 128
+K = 6
 _LOWEST = -(1 << 63)
 
 
@@ -28,12 +26,13 @@ def _inner(text: Column) -> Column:
 
 def _edge(inner: Column, h: Column, i: Column) -> Column:
     """Whether the smallest inner substring of the k-mer at ``i`` is its first or its last."""
-    return (i < F.size(inner) - (K - 1)) & (F.least(h, F.get(inner, i + 2)) <= F.get(inner, i + 1))
+    between = F.least(*(F.get(inner, i + j) for j in range(1, K - 2)))
+    return (i < F.size(inner) - (K - 1)) & (F.least(h, F.get(inner, i + K - 2)) <= between)
 
 
 def _hash(inner: Column, h: Column, i: Column) -> Column:
-    """32 bits for the four units of the k-mer at ``i``."""
-    return F.shiftrightunsigned(F.xxhash64(h, F.get(inner, i + 2)), 32)
+    """32 bits for the units of the k-mer at ``i``."""
+    return F.shiftrightunsigned(F.xxhash64(h, *(F.get(inner, i + j) for j in range(2, K, 2))), 32)
 
 
 def _whole(inner: Column) -> Column:
@@ -41,13 +40,13 @@ def _whole(inner: Column) -> Column:
 
 
 def anchors(text: Column) -> Column:
-    """Array of (position, hash) of the closed syncmers of a text, positions in units.
+    """Array of (position, hash) of all closed syncmers of a text in order, positions in units.
 
     A k-mer is chosen when the smallest of its inner substrings is the first or
     the last. That depends on the k-mer alone, so it is chosen wherever it
-    stands, and texts match by position through their common anchors. A text
-    with fewer than k units has one anchor, made of all of them; a null text or
-    one without units has none.
+    stands, and texts match by position through their common anchors. At least
+    one of K - 2 neighbouring k-mers is chosen. A text with fewer than k units
+    has one anchor, made of all of them; a null text or one without units has none.
     """
 
     def chosen(inner: Column) -> Column:
@@ -59,30 +58,46 @@ def anchors(text: Column) -> Column:
     return let(_inner(text), chosen)
 
 
-def sketch(text: Column) -> Column:
-    """The SKETCH smallest distinct anchor hashes of a text, in order."""
+def fingerprint(anchored: Column) -> Column:
+    """All anchors as a string: for each the distance from the one before, one digit, and eight hexadecimal digits of its hash.
 
-    def chosen(inner: Column) -> Column:
-        pick = lambda h, i: F.when(_edge(inner, h, i), _hash(inner, h, i))
-        picked = F.filter(F.transform(inner, pick), lambda x: x.isNotNull())
-        return F.when((F.size(inner) > 0) & (F.size(inner) < K), F.array(_whole(inner))).otherwise(picked)
+    So positions can be read back from it; its length grows with the text.
+    """
+
+    def shown(own: Column) -> Column:
+        apart = lambda x, i: x["position"] - F.when(i > 0, F.get(own, i - 1)["position"]).otherwise(0)
+        return F.array_join(F.transform(own, lambda x, i: F.concat(apart(x, i).cast("string"), F.lpad(F.hex(x["hash"]), 8, "0"))), "")
+
+    return let(anchored, shown)
+
+
+def steps(anchored: Column) -> Column:
+    """A number for each pair of neighbouring anchors and their distance; a lone anchor gives its own.
+
+    Texts that share a passage share its steps, in its order, wherever it stands
+    in them; anchors that recur elsewhere by themselves, or out of order, match nothing.
+    """
 
-    return F.slice(F.sort_array(F.array_distinct(let(_inner(text), chosen))), 1, SKETCH)
+    def all_of(own: Column) -> Column:
+        def step(x: Column, i: Column) -> Column:
+            after = F.get(own, i + 1)
+            apart = F.when(after.isNotNull(), F.xxhash64(x["hash"], after["hash"], after["position"] - x["position"]))
+            return F.when(F.size(own) == 1, x["hash"]).otherwise(apart)
 
+        return F.array_distinct(F.filter(F.transform(own, step), lambda s: s.isNotNull()))
 
-def fingerprint(sketched: Column) -> Column:
-    """A sketch as a string, eight hexadecimal digits a hash."""
-    return F.array_join(F.transform(sketched, lambda h: F.lpad(F.hex(h), 8, "0")), "")
+    return let(anchored, all_of)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated share of common anchors, from the smallest hashes of both sketches; two empty ones are alike."""
+    """Share of distinct steps that stand in both texts, of all in either; two texts without any are alike."""
+    both, all_ = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
+    return F.when(all_ == 0, 1.0).otherwise(both / all_).cast("double")
 
-    def share(union: Column) -> Column:
-        both = F.array_intersect(F.array_intersect(a, b), union)
-        return F.when(F.size(union) == 0, 1.0).otherwise(F.size(both) / F.size(union))
 
-    return let(F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH), share).cast("double")
+def containment(a: Column, b: Column) -> Column:
+    """Share of the distinct steps of ``a`` that stand in ``b``: 1 for a passage copied whole, whatever the length of ``b``."""
+    return F.when(F.size(a) == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(a)).cast("double")
 
 
 def add_fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -91,7 +106,7 @@ def add_fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     No shuffle. Repeated rows give equal rows; an empty table gives no rows; a
     column ``fingerprint`` is replaced.
     """
-    return docs.withColumn("fingerprint", fingerprint(sketch(F.col(text))))
+    return docs.withColumn("fingerprint", fingerprint(anchors(F.col(text))))
 
 
 def fingerprint_edits(docs: DataFrame, buckets_a_partition: int = 4) -> DataFrame:
@@ -138,16 +153,17 @@ def fingerprint_edits(docs: DataFrame, buckets_a_partition: int = 4) -> DataFram
     made = seen.select(
         "doc_id", "bucket", "ghost", "k", "text", "n_chars",
         F.sha2(F.col("edited"), 256).alias("edited_sha256"),
-        sketch(F.col("text")).alias("own"),
-        sketch(F.col("edited")).alias("changed"),
+        anchors(F.col("text")).alias("own"),
+        anchors(F.col("edited")).alias("changed"),
     )
-    made = made.withColumn("next", F.lead("own").over(in_range)).where("NOT ghost")
+    made = made.withColumns({"own_steps": steps(F.col("own")), "changed_steps": steps(F.col("changed"))})
+    made = made.withColumn("next_steps", F.lead("own_steps").over(in_range)).where("NOT ghost")
     return made.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
         fingerprint(F.col("own")).alias("fingerprint"),
         fingerprint(F.col("changed")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("changed")).alias("near_edited"),
-        likeness(F.col("own"), F.col("next")).alias("near_next"),
+        likeness(F.col("own_steps"), F.col("changed_steps")).alias("near_edited"),
+        likeness(F.col("own_steps"), F.col("next_steps")).alias("near_next"),
     )
