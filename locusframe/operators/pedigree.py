@@ -167,6 +167,11 @@ def _settle(ped: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
         level += 1
 
 
+def settled_levels(ped: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``generation_levels`` without loops, the rows that have no level)."""
+    return _settle(ped, "pedigree")
+
+
 def generation_levels(ped: DataFrame, on_cycle: str = "raise") -> DataFrame:
     """(ind, father, mother, level): founders 0, others 1 + highest parent level.
 
@@ -180,42 +185,40 @@ def generation_levels(ped: DataFrame, on_cycle: str = "raise") -> DataFrame:
     return settled
 
 
-def ancestor_loops(ped: DataFrame) -> DataFrame:
+def ancestor_loops(ped: DataFrame, unsettled: DataFrame | None = None) -> DataFrame:
     """Individuals that are their own ancestor.
 
-    Rows left over by the level rounds are trimmed from below too; then the
-    largest label is passed from parents to children until it is stable.  A
-    label that came from x marks descendants of x, and walking up from x inside
-    its mark finds exactly the loop members x belongs to.  Found loops are
-    removed and the rest is done again.  Every step moves one row per parent
-    link, however long or dense the loops are.
+    ``unsettled`` is the part of the pedigree that the level rounds left, where
+    it is known.  It is trimmed from above and below, generation by generation.
+    Then every individual follows one of its remaining parents, picked by hash,
+    and the reach of a step doubles each round, so the loops of these steps are
+    found in as many rounds as their length has binary digits, and with them a
+    loop above every individual.  Steps to one child each, in the same way, tell
+    a loop below; one that is both above and below takes the individual in.  A
+    found loop becomes one individual (its smallest label) and the rest is done
+    again until no link is left.  Every step moves one row per individual or
+    parent link.
     """
-    _, rest = _settle(ped, "loops")
-    spark = ped.sparkSession
-    found = Ledger(spark, "loop-members")
-    links = parent_links(rest.withColumn("line_no", F.lit(0))).select("ind", "parent").distinct()
-    found.append(links.select("ind").limit(0))
-    links = materialize(_inner_links(links), "loop-links")
+    if unsettled is None:
+        _, unsettled = _settle(ped, "loops")
+    found = Ledger(ped.sparkSession, "loop-members")
+    links = materialize(
+        parent_links(unsettled.withColumn("line_no", F.lit(0))).select("ind", "parent").distinct(), "loop-links"
+    )
+    found.append(links.where("ind = parent").select("ind"))
+    links = _trim(links.where("ind <> parent"))
+    turn = 0
     while not links.isEmpty():
-        links = _trim(links)
-        if links.isEmpty():
-            break
-        marks = _spread_marks(links)
-        inside = materialize(
-            links.join(marks.select("ind", "mark"), "ind")
-            .join(marks.select(F.col("ind").alias("parent"), F.col("mark").alias("parent_mark")), "parent")
-            .where("mark = parent_mark")
-            .select("ind", "parent", "mark"),
-            "loop-inside",
-        )
-        members = _walk_up(inside)
-        found.append(members.select("ind"))
-        links = materialize(
-            links.join(members.select("ind"), "ind", "left_anti")
-            .join(members.select(F.col("ind").alias("parent")), "parent", "left_anti")
-            .select("ind", "parent"),
-            "loop-links",
+        loops = _merged_loops(links, turn)
+        found.append(loops.select("ind"))
+        links = _trim(
+            links.join(loops.withColumnRenamed("loop", "ind_loop"), "ind", "left")
+            .join(loops.select(F.col("ind").alias("parent"), F.col("loop").alias("parent_loop")), "parent", "left")
+            .select(F.coalesce("ind_loop", "ind").alias("ind"), F.coalesce("parent_loop", "parent").alias("parent"))
+            .where("ind <> parent")
+            .distinct()
         )
+        turn += 1
     return found.read().distinct()
 
 
@@ -227,52 +230,76 @@ def _inner_links(links: DataFrame) -> DataFrame:
 
 
 def _trim(links: DataFrame) -> DataFrame:
+    links = materialize(links, "loop-links")
     size = links.count()
-    while True:
+    while size:
         links = materialize(_inner_links(links), "loop-links")
         left = links.count()
-        if left == size or left == 0:
-            return links
+        if left == size:
+            break
         size = left
+    return links
+
+
+def _merged_loops(links: DataFrame, turn: int) -> DataFrame:
+    """(ind, loop): members of the loops of one step up each, and those between a loop and itself."""
+    up = _follow(links.groupBy("ind").agg(F.min_by("parent", F.xxhash64("ind", "parent", F.lit(turn))).alias("next")))
+    loops, rest = up.where("on_loop").select("ind", "loop"), up.where("NOT on_loop")
+    if rest.isEmpty():
+        return loops
+    child = links.select(F.col("parent").alias("ind"), F.col("ind").alias("child"))
+    down = _follow(
+        child.join(loops, "ind", "left_anti")
+        .groupBy("ind")
+        .agg(F.min_by("child", F.xxhash64("ind", "child", F.lit(turn))).alias("next"))
+        .unionByName(loops.select("ind", F.col("ind").alias("next")))
+    )
+    # A step down ends at a loop's member, which stays where it is.
+    below = down.join(loops.select(F.col("ind").alias("end"), F.col("loop").alias("below")), F.col("loop") == F.col("end"))
+    between = rest.join(below.select("ind", "below"), "ind").where("loop = below").select("ind", "loop")
+    return materialize(loops.unionByName(between), "loops")
 
 
-def _spread_marks(links: DataFrame) -> DataFrame:
-    """(ind, mark): the largest label among an individual and its ancestors."""
-    people = links.select("ind").union(links.select("parent")).distinct()
-    marks = materialize(people.select("ind", F.col("ind").alias("mark"), F.lit(True).alias("moved")), "loop-marks")
+def _follow(step: DataFrame) -> DataFrame:
+    """(ind, loop, on_loop): the loop to which single steps (ind, next) lead, by its smallest label.
+
+    After k rounds ``next`` is 2^k steps away and ``low`` the smallest label of
+    the steps up to it, its own included.  When neither the set reached nor any
+    ``low`` changes in a round, that set is the loops and each ``low`` in it the
+    smallest of its loop.
+    """
+    ways = materialize(step.select("ind", "next", F.least("ind", "next").alias("low")), "loop-ways")
+    reached = ways.agg(F.count_distinct("next")).first()[0]
     while True:
-        moved = marks.where("moved").select(F.col("ind").alias("parent"), "mark")
-        offered = links.join(moved, "parent").groupBy("ind").agg(F.max("mark").alias("offer"))
-        grown = F.coalesce(F.col("offer") > F.col("mark"), F.lit(False))
-        marks = materialize(
-            marks.join(offered, "ind", "left").select(
-                "ind", F.when(grown, F.col("offer")).otherwise(F.col("mark")).alias("mark"), grown.alias("moved")
+        ahead = ways.select(F.col("ind").alias("next"), F.col("next").alias("next2"), F.col("low").alias("low2"))
+        ways = materialize(
+            ways.join(ahead, "next").select(
+                "ind", F.col("next2").alias("next"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("moved")
             ),
-            "loop-marks",
+            "loop-ways",
         )
-        if marks.where("moved").isEmpty():
-            return marks.select("ind", "mark")
-
-
-def _walk_up(inside: DataFrame) -> DataFrame:
-    """Individuals reached upwards from each mark's own label, when that returns to it."""
-    ledger = Ledger(inside.sparkSession, "loop-walk")
-    up = inside.where("ind = mark").select(F.col("parent").alias("ind"), "mark").distinct()
-    newest = ledger.append(up)
-    while not newest.isEmpty():
-        step = newest.join(inside, ["ind", "mark"]).select(F.col("parent").alias("ind"), "mark").distinct()
-        newest = ledger.append(step.join(ledger.read(), ["ind", "mark"], "left_anti"))
-    walked = ledger.read()
+        now, moved = ways.agg(F.count_distinct("next"), F.bool_or("moved")).first()
+        if now == reached and not moved:
+            break
+        reached = now
+    ends = ways.select(F.col("next").alias("end")).distinct()
+    lows = ends.join(ways.select(F.col("ind").alias("end"), F.col("low").alias("loop")), "end")
+    members = ends.select(F.col("end").alias("ind"), F.lit(True).alias("on_loop"))
     return materialize(
-        walked.join(walked.where("ind = mark").select("mark"), "mark", "left_semi").select("ind").distinct(),
-        "loop-found",
+        ways.select("ind", F.col("next").alias("end"))
+        .join(lows, "end")
+        .join(members, "ind", "left")
+        .select("ind", "loop", F.col("on_loop").isNotNull().alias("on_loop")),
+        "loop-ends",
     )
 
 
 ERROR_COLUMNS = ("error", "ind", "line_no", "detail")
 
 
-def validate_pedigree(ped: DataFrame, format_errors: DataFrame | None = None) -> DataFrame:
+def validate_pedigree(
+    ped: DataFrame, format_errors: DataFrame | None = None, unsettled: DataFrame | None = None
+) -> DataFrame:
     """Every problem of the pedigree as one table, instead of only the first."""
 
     def report(df: DataFrame, error: str, detail) -> DataFrame:
@@ -286,7 +313,7 @@ def validate_pedigree(ped: DataFrame, format_errors: DataFrame | None = None) ->
         report(duplicate_individuals(ped), "duplicate_individual", F.col("first_line")),
         report(child_is_parent_of_parent(ped), "child_is_parent_of_parent", F.concat_ws(" ", "role", "parent")),
         report(half_founders(ped), "half_founder", F.lit(None)),
-        report(ancestor_loops(ped), "ancestor_loop", F.lit(None)),
+        report(ancestor_loops(ped, unsettled), "ancestor_loop", F.lit(None)),
     ]
     if format_errors is not None:
         checks.append(

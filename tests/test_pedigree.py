@@ -169,3 +169,60 @@ def test_children_and_statistics(spark):
         (0, 1, 0, 0, 2), (1, 0, 1, 0, 1), (1, 1, 0, 1, 1), (2, 0, 2, 1, 3), (2, 1, 0, 1, 1),
     ]
     assert rows(migrants) == [(0, 2), (1, 1), (2, 0)]
+
+
+@pytest.mark.parametrize("seed,half", [(4, False), (5, True)])
+def test_kinship_columns_against_recursion(spark, seed, half):
+    triples = random_pedigree(seed, half=half)
+    phi = kinship_by_hand(triples)
+    names = [t[0] for t in triples]
+    wanted = [names[0], names[-1], names[len(names) // 2], names[-1], "nobody", None]
+    ids = spark.createDataFrame([(w,) for w in wanted], "name string")
+    got = {(r.a, r.b): r.phi for r in K.kinship_columns(make(spark, triples), ids).collect()}
+    assert {a for a, _ in got} == set(wanted) - {"nobody", None}
+    for a in set(wanted) - {"nobody", None}:
+        for b in names:
+            assert near(got.get((a, b), 0.0), phi(a, b)), (a, b)
+
+
+def test_kinship_pairs_once_and_parents_of_several_levels(spark):
+    triples = THREE + [("Late", "Father", "Child1"), ("Later", "Father", "Late"), ("Selfed", "Later", "Later")]
+    phi = kinship_by_hand(triples)
+    pairs = K.kinship_pairs(make(spark, triples)).collect()
+    got = {(r.a, r.b): r.phi for r in pairs}
+    assert len(got) == len(pairs) and all(a <= b for a, b in got)
+    names = sorted(t[0] for t in triples)
+    for i, a in enumerate(names):
+        for b in names[i:]:
+            assert near(got.get((a, b), 0.0), phi(a, b)), (a, b)
+
+
+def test_long_loop_takes_few_rounds(spark, monkeypatch):
+    n = 2000
+    loop = [f"v{i}" for i in range(n)]
+    triples = [(loop[i], loop[(i + 1) % n], "out" if i % 3 else None) for i in range(n)]
+    triples += [("out", None, None), ("below", "v5", "out"), ("below2", "below", "v9")]
+    written = []
+    real = P.materialize
+    monkeypatch.setattr(P, "materialize", lambda df, label: written.append(label) or real(df, label))
+    got = {r.ind for r in P.ancestor_loops(make(spark, triples)).collect()}
+    assert got == set(loop)
+    assert len(written) < 40
+
+
+def test_nested_loops_against_components(spark):
+    rng = random.Random(12)
+    n = 60
+    triples = [(f"n{i}", f"n{(i + 1) % n}" if i % 17 else f"n{rng.randrange(n)}", f"n{rng.randrange(n)}") for i in range(n)]
+    parents = {i: {f, m} for i, f, m in triples}
+
+    def loops(x):
+        seen, todo = set(), list(parents[x])
+        while todo:
+            y = todo.pop()
+            if y not in seen:
+                seen.add(y)
+                todo += parents[y]
+        return x in seen
+
+    assert rows(P.ancestor_loops(make(spark, triples))) == sorted(((x,) for x in parents if loops(x)), key=repr)
