@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import pyarrow.compute as pc
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,7 +14,8 @@ from pyspark.sql.window import Window
 from locusframe.operators.ordered import collapse_runs, consecutive, rank_in_order
 from locusframe.session import materialize
 
-TARGET_BINS = 1024
+# Most bins of a region filter; they only steer how the work is dealt out.
+TARGET_BINS = 4096
 # Elementary intervals are looked up in chunks of 2 ** CHUNK_LEVEL.
 CHUNK_LEVEL = 10
 
@@ -119,20 +122,32 @@ def overlay(
 
 # ------------------------------------------------------------ region filters
 
-def _bin(value: Column, bins: int) -> Column:
-    return F.least(F.greatest(F.floor(value * bins), F.lit(0)), F.lit(bins)).cast("bigint")
+def _region_cuts(regions: DataFrame, bins: int) -> list[float]:
+    """Splits at quantiles of the region starts, so dense places have narrow bins, whatever the unit."""
+    cuts = regions.select(F.col("start").cast("double").alias("start")).approxQuantile(
+        "start", [i / bins for i in range(1, bins)] or [0.5], 1.0 / (4 * bins)
+    )
+    inner = sorted({c for c in cuts if math.isfinite(c)}) or [0.0]
+    return [float("-inf"), *inner, float("inf")]
+
+
+def _binned(df: DataFrame, value: str, cuts: list[float], name: str) -> DataFrame:
+    """``df`` with the number of the split that holds ``value``; nulls and NaN have one of their own."""
+    deal = Bucketizer(splits=cuts, inputCol="_cut_value", outputCol="_cut", handleInvalid="keep")
+    dealt = deal.transform(df.withColumn("_cut_value", F.col(value).cast("double")))
+    return dealt.withColumn(name, F.col("_cut").cast("bigint")).drop("_cut_value", "_cut")
 
 
-def _regions_by_start(regions: DataFrame, bins: int) -> DataFrame:
+def _regions_by_start(regions: DataFrame, cuts: list[float]) -> DataFrame:
     """Regions keyed by the bin of their start, plus one row per later bin.
 
     The extra row of bin b stands for every region that starts in an earlier
     bin and carries their largest end.  A point then needs its own bin only.
     """
-    own = regions.select(_bin(F.col("start"), bins).alias("bin"), F.col("start").alias("r_start"), F.col("end").alias("r_end"))
+    own = _binned(regions, "start", cuts, "bin").select("bin", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
     own = materialize(own.groupBy("bin", "r_start").agg(F.max("r_end").alias("r_end")), "regions")
     ends = own.groupBy("bin").agg(F.max("r_end").alias("r_end"))
-    every = regions.sparkSession.range(bins + 1).withColumnRenamed("id", "bin")
+    every = regions.sparkSession.range(len(cuts) - 1).withColumnRenamed("id", "bin")
     earlier = Window.partitionBy().orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     before = (
         every.join(ends, "bin", "left")
@@ -146,26 +161,27 @@ def _regions_by_start(regions: DataFrame, bins: int) -> DataFrame:
 def in_target_regions(df: DataFrame, regions: DataFrame, pos: str = "frac", bins: int = TARGET_BINS) -> DataFrame:
     """Rows whose position lies in a region, both ends included.
 
-    A table without regions keeps everything.  Neither side is expanded: each
-    row has one bin, and a region set too large to broadcast is shuffled by bin.
+    Positions may be fractions or base pairs.  A table without regions keeps
+    everything.  Neither side is expanded: each row has one bin, and a region
+    set too large to broadcast is shuffled by bin.
     """
     if regions.isEmpty():
         return df
-    keyed = _regions_by_start(regions, bins)
+    cuts = _region_cuts(regions, bins)
+    keyed = _regions_by_start(regions, cuts)
     p = F.col(pos)
-    left = df.withColumn("_bin", _bin(p, bins))
     on = (F.col("_bin") == F.col("bin")) & (F.col("r_start") <= p) & (F.col("r_end") >= p)
-    return left.join(keyed, on, "left_semi").drop("_bin")
+    return _binned(df, pos, cuts, "_bin").join(keyed, on, "left_semi").drop("_bin")
 
 
 def overlaps_targets(df: DataFrame, regions: DataFrame, bins: int = TARGET_BINS) -> DataFrame:
     """Half-open rows [start, end) that overlap a half-open region."""
     if regions.isEmpty():
         return df
-    keyed = _regions_by_start(regions, bins)
-    left = df.withColumn("_bin", _bin(F.col("end"), bins))
+    cuts = _region_cuts(regions, bins)
+    keyed = _regions_by_start(regions, cuts)
     on = (F.col("_bin") == F.col("bin")) & (F.col("r_start") < F.col("end")) & (F.col("r_end") > F.col("start"))
-    return left.join(keyed, on, "left_semi").drop("_bin")
+    return _binned(df, "end", cuts, "_bin").join(keyed, on, "left_semi").drop("_bin")
 
 
 def groups_overlapping(df: DataFrame, regions: DataFrame, group: Sequence[str]) -> DataFrame:

@@ -160,3 +160,18 @@ def test_shared_descent_cases(spark):
     got = dict(((a, b), p) for a, b, p in rows(G.realized_kinship(s, spark.createDataFrame(pairs, "a string, b string"))))
     want = [0.25, 0.5, 1.0, 0.5, (0.3 + 0.7 + 0.5) / 4, 0.0]
     assert all(near(got[p], w) for p, w in zip(pairs, want))
+
+
+def test_regions_in_base_pairs_with_a_dense_cluster(spark):
+    """100,000 regions of 3 bases within 400,000 bases, and one long region far away."""
+    regions = spark.range(100_000).selectExpr("cast(5000000 + id * 4 as double) AS start", "cast(5000002 + id * 4 as double) AS end")
+    regions = regions.unionByName(spark.createDataFrame([(10.0, 900.0)], "start double, end double"))
+    points = spark.range(4_000).selectExpr("cast(4999000 + id * 103 as double) AS frac").unionByName(
+        spark.createDataFrame([(10.0,), (900.0,), (901.0,), (None,), (float("nan"),)], "frac double")
+    )
+    got = {r.frac for r in I.in_target_regions(points, regions).collect()}
+    want = {p for p in (4999000.0 + i * 103 for i in range(4_000)) if 5e6 <= p < 5.4e6 and (p - 5e6) % 4 <= 2}
+    assert got == want | {10.0, 900.0}
+    cuts = I._region_cuts(regions, I.TARGET_BINS)
+    sizes = [r["count"] for r in I._binned(regions, "start", cuts, "bin").groupBy("bin").count().collect()]
+    assert len(sizes) > I.TARGET_BINS / 2 and max(sizes) < 8 * 100_000 / I.TARGET_BINS
