@@ -45,6 +45,18 @@ def _sample_shared(s, d, region=None):
     return out.variants.select("file_id", "chrom", "pos", F.array_join("gts", " ").alias("gts"))
 
 
+def _sample_narrowed(s, d):
+    """Listed samples, a region and a marker count at once."""
+    cohort = P.VariantSet(A.phased_variants(s, d), A.panel_samples(s, d), A.contigs(s, d))
+    return P.sample_vcf(cohort, ids=_listed(s, d), k=K, method="uniform", region="chr2:100")
+
+
+def _sample_random(s, d):
+    cohort = P.VariantSet(A.variants(s, d), A.panel_samples(s, d), A.contigs(s, d))
+    out = P.sample_vcf(cohort, k=K, method="random", seed=11)
+    return out.variants.groupBy("chrom").agg(F.count_distinct("pos").alias("n_picked"))
+
+
 def _polymorphic_with_depth(s, d):
     """Calls that carry a depth; the depth is no allele."""
     deep = F.transform("gts", lambda g: F.concat(g, F.lit(":12")))
@@ -109,6 +121,10 @@ QUERIES = {
     "union_relabelled": _two_chromosomes,
     "coordinates": _coordinates,
     "sample_vcf": _sample_one,
+    "sample_vcf_narrowed": lambda s, d: _wide(_sample_narrowed(s, d).variants),
+    "sample_vcf_samples": lambda s, d: _sample_narrowed(s, d).samples,
+    "sample_vcf_contigs": lambda s, d: _sample_narrowed(s, d).contigs,
+    "sample_vcf_random": _sample_random,
     "sample_vcfs_shared": lambda s, d: _sample_shared(s, d, "chr2:100"),
     "sample_vcfs_shared_all": _sample_shared,
 }
@@ -214,6 +230,28 @@ SELECT chrom, pos, CAST(substr(chrom, 4) AS INTEGER) AS chrom_no, round(x, 6) AS
 WITH src AS (SELECT chrom, pos FROM variants_repeated), {_UNIFORM}
 SELECT chrom, pos, ref, alt, array_to_string(gts, ' ') AS gts FROM variants_repeated JOIN sel USING (chrom, pos)""",
     ),
+    "sample_vcf_narrowed": (
+        ["variants", "phased"],
+        f"""
+WITH src AS (SELECT chrom, pos FROM variants WHERE chrom = 'chr2' AND pos >= 100), {_UNIFORM}
+SELECT chrom, pos, ref, alt, string_agg(gt, ' ' ORDER BY sample_idx) AS gts FROM phased JOIN sel USING (chrom, pos)
+WHERE sample_idx IN (SELECT c_nationkey * 2 FROM customer) GROUP BY chrom, pos, ref, alt""",
+    ),
+    "sample_vcf_samples": (
+        [],
+        """
+SELECT 'a' AS file_id, row_number() OVER (ORDER BY n_nationkey) - 1 AS sample_idx, 'N' || n_nationkey AS sample_id
+FROM nation WHERE n_nationkey IN (SELECT c_nationkey * 2 FROM customer)""",
+    ),
+    "sample_vcf_contigs": (
+        ["variants", "contigs"],
+        """
+SELECT 'a' AS file_id, chrom, length FROM contigs
+WHERE chrom IN (SELECT chrom FROM variants WHERE chrom = 'chr2' AND pos >= 100)""",
+    ),
+    "sample_vcf_random": (
+        ["variants"], f"SELECT chrom, least({K}, count(DISTINCT pos)) AS n_picked FROM variants GROUP BY chrom",
+    ),
     "sample_vcfs_shared": (
         ["three_files"],
         f"""

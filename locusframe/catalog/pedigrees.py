@@ -22,6 +22,12 @@ def _order_check(s, d):
     )
 
 
+def _column_kinship(s, d):
+    """Ordering customers against all individuals."""
+    ordering = A.table(s, d, "orders").select(F.concat(F.lit("c"), F.col("o_custkey")).alias("ind"))
+    return _rounded(kinship_report(A.pedigree(s, d), "kinship", ids=ordering), "phi")
+
+
 QUERIES = {
     "founder_count": lambda s, d: P.founder_count(A.pedigree(s, d)),
     "parent_lookup": lambda s, d: P.parent_lookup(A.pedigree(s, d)),
@@ -46,6 +52,12 @@ QUERIES = {
     "kinship_of_pairs": lambda s, d: _rounded(
         kinship_report(A.pedigree(s, d), "kinship", A.relatives(s, d)), "phi"
     ),
+    "kinship_report": lambda s, d: _rounded(kinship_report(A.pedigree(s, d)), "phi"),
+    "inbreeding_report": lambda s, d: _rounded(kinship_report(A.pedigree(s, d), "inbreeding"), "f"),
+    "relatedness_report": lambda s, d: _rounded(kinship_report(A.pedigree(s, d), "relatedness"), "phi", "r"),
+    "kinship_columns": _column_kinship,
+    "validate_pedigree_rows": lambda s, d: P.validate_pedigree(A.broken_pedigree(s, d)),
+    "relationship_listing": lambda s, d: P.relationship_listing(A.pedigree(s, d)),
 }
 
 _LEVELS = """
@@ -182,6 +194,21 @@ WITH RECURSIVE {_PAIRS}
 SELECT r.a, r.b, round(coalesce(k.phi, 0), 6) AS phi FROM relatives r
 LEFT JOIN kin2 k ON k.a = least(r.a, r.b) AND k.b = greatest(r.a, r.b)""",
     ),
+    "kinship_columns": (
+        ["pedigree"],
+        f"""
+WITH RECURSIVE {_PAIRS},
+both_ways AS (SELECT a, b, phi FROM kin2 UNION ALL SELECT b, a, phi FROM kin2 WHERE a <> b)
+SELECT a, b, round(phi, 6) AS phi FROM both_ways WHERE a IN (SELECT 'c' || o_custkey FROM orders)""",
+    ),
+    "relationship_listing": (
+        ["pedigree"],
+        f"""
+WITH RECURSIVE {_LEVELS},
+n AS (SELECT row_number() OVER (ORDER BY level, line_no) AS idx, ind, father, mother FROM pedigree JOIN levels USING (ind))
+SELECT n.idx, n.ind, coalesce(f.idx, 0) AS father_idx, coalesce(m.idx, 0) AS mother_idx
+FROM n LEFT JOIN n f ON n.father = f.ind LEFT JOIN n m ON n.mother = m.ind""",
+    ),
 }
 
 ORACLES = {name: A.with_tables(tables, body) for name, (tables, body) in _RAW.items()}
@@ -197,3 +224,16 @@ ORACLES["validate_pedigree"] = " UNION ALL ".join(
     f"SELECT '{error}' AS error, count(*) AS n_errors FROM ({ORACLES[name]}) HAVING count(*) > 0"
     for error, name in _CHECKS.items()
 )
+
+for _measure in ("kinship", "inbreeding", "relatedness"):
+    ORACLES[f"{_measure}_report"] = ORACLES[_measure]
+_DETAILS = {
+    "missing_parent": "line_no, role || ' ' || parent",
+    "duplicate_individual": "line_no, CAST(first_line AS VARCHAR)",
+    "child_is_parent_of_parent": "line_no, role || ' ' || parent",
+    "half_founder": "line_no, NULL",
+    "ancestor_loop": "NULL, NULL",
+}
+ORACLES["validate_pedigree_rows"] = "SELECT error, ind, CAST(line_no AS BIGINT) AS line_no, detail FROM (" + " UNION ALL ".join(
+    f"SELECT '{error}', ind, {_DETAILS[error]} FROM ({ORACLES[name]})" for error, name in _CHECKS.items()
+) + ") AS found(error, ind, line_no, detail)"

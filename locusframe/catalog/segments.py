@@ -109,6 +109,8 @@ QUERIES = {
         "youngest_tmrca", "avg_tmrca", "largest_mrca", "smallest_mrca", "weighted_tmrca",
     ),
     "mrca_regions": lambda s, d: I.mrca_regions(A.mrca_intervals(s, d)),
+    "mrca_report_by_age": lambda s, d: _rounded(P.mrca_report(A.mrca_intervals(s, d))[1].drop("num_ints"), "length"),
+    "mrca_report_by_region": lambda s, d: P.mrca_report(A.mrca_intervals(s, d))[2],
     "assemble_vcf": _assembled_vcf,
     "assembled_calls_by_individual": _calls_by_individual,
     "assemble_sequences": _sequences,
@@ -267,6 +269,11 @@ SELECT rep, round(min(age), 6) AS youngest_tmrca, round(avg(age), 6) AS avg_tmrc
        round(max(length), 6) AS largest_mrca, round(min(length), 6) AS smallest_mrca,
        round(sum(age * length) / sum(length), 6) AS weighted_tmrca FROM ba GROUP BY rep""",
     ),
+    "mrca_report_by_age": (
+        ["mrca_intervals"],
+        f"WITH {_OVERLAY} SELECT rep, age, round(sum(upper - lower), 6) AS length FROM laid GROUP BY rep, age",
+    ),
+    "mrca_report_by_region": (["mrca_intervals"], f"WITH {_OVERLAY} SELECT rep, lower, upper, age FROM laid"),
     "mrca_regions": (["mrca_intervals"], "SELECT rep, lower, upper, age FROM mrca_intervals ORDER BY rep, lower"),
     "assemble_vcf": (
         ["variants", "contigs", "segments", "founders"],

@@ -18,6 +18,7 @@ from locusframe.sources import pedigree as PD
 from locusframe.sources import segments as SG
 from locusframe.sources import trees as TR
 from locusframe.sources import vcf as VC
+from locusframe.sources.text import write_sorted
 
 
 def _folder(spark, name: str) -> str:
@@ -141,6 +142,47 @@ def _trees(s, d):
     return TR.read_trees(s, path).groupBy("newick").agg(F.count(F.lit(1)).alias("n_trees"))
 
 
+def _numbered_trees(s, d, value, name: str) -> str:
+    """Text of the trees' rows in the order of their numbers."""
+    path = _folder(s, name)
+    write_sorted(A.trees(s, d).select("tree_no", value.alias("value")), path, ["tree_no"])
+    return path
+
+
+def _interval_text():
+    """[n, n + 1) for tree n."""
+    return F.concat(F.lit("["), F.col("tree_no"), F.lit(","), F.col("tree_no") + 1, F.lit("]"))
+
+
+def _tree_intervals(s, d):
+    return TR.read_tree_intervals(s, _numbered_trees(s, d, _interval_text(), "intervals"))
+
+
+def _trees_with_intervals(s, d):
+    trees = _numbered_trees(s, d, F.col("newick"), "numbered-trees")
+    intervals = _numbered_trees(s, d, _interval_text(), "numbered-intervals")
+    return TR.read_trees_with_intervals(s, trees, intervals).drop("rep")
+
+
+def _interval_trees(s, d):
+    path = _numbered_trees(s, d, F.concat_ws(" ", _interval_text(), "newick"), "interval-trees")
+    return TR.read_interval_trees(s, path).drop("rep")
+
+
+def _replicate_logs(s, d):
+    """One log per scenario; its largest values count, and what it does not show is NULL."""
+    path = _folder(s, "logs")
+    oldest = F.concat(F.lit("Oldest_TMRCA: "), F.abs("metric").cast("decimal(18,6)"))
+    recombinations = F.concat(F.lit("No_Recombinations:  "), F.col("rep"))
+    text = A.replicates(s, d).select("scenario", F.explode(F.array(oldest, recombinations)).alias("value"))
+    text.write.partitionBy("scenario").text(path)
+    logs = TR.read_replicate_logs(s, path)
+    return logs.select(
+        F.regexp_extract("log", "scenario=([^/]+)", 1).alias("scenario"), "tmrca", "recomb",
+        F.col("mutations").isNull().alias("no_mutations"),
+    )
+
+
 def _ids(s, d):
     path = _lines(s, A.pedigree(s, d).select(F.concat("ind", F.lit("  ")).alias("value")), "ids")
     return GT.read_id_list(s, path)
@@ -173,6 +215,10 @@ QUERIES = {
     "read_target_regions": _regions,
     "read_time_rows": _times,
     "read_trees": _trees,
+    "read_tree_intervals": _tree_intervals,
+    "read_trees_with_intervals": _trees_with_intervals,
+    "read_interval_trees": _interval_trees,
+    "read_replicate_logs": _replicate_logs,
     "read_id_list": _ids,
     "read_pop_map": _pop_map,
 }
@@ -229,6 +275,27 @@ SELECT file, chrom, pos, ref, alt FROM (SELECT chrom, pos, ref, alt FROM phased
     "read_target_regions": (["target_regions"], 'SELECT start, "end" FROM target_regions'),
     "read_time_rows": (["replicates"], "SELECT metric AS tmrca, metric * 2 AS tree_length FROM replicates"),
     "read_trees": (["trees"], "SELECT newick, count(*) AS n_trees FROM trees GROUP BY newick"),
+    "read_tree_intervals": (
+        ["trees"],
+        """
+SELECT row_number() OVER (ORDER BY tree_no) AS tree_no, CAST(tree_no AS DOUBLE) AS lower, CAST(tree_no + 1 AS DOUBLE) AS upper
+FROM trees""",
+    ),
+    "read_trees_with_intervals": (
+        ["trees"],
+        """
+SELECT row_number() OVER (ORDER BY tree_no) AS tree_no, CAST(tree_no AS DOUBLE) AS lower, CAST(tree_no + 1 AS DOUBLE) AS upper,
+       newick FROM trees""",
+    ),
+    "read_interval_trees": (
+        ["trees"], "SELECT CAST(tree_no AS DOUBLE) AS lower, CAST(tree_no + 1 AS DOUBLE) AS upper, newick FROM trees",
+    ),
+    "read_replicate_logs": (
+        ["replicates"],
+        """
+SELECT scenario, max(CAST(CAST(abs(metric) AS DECIMAL(18, 6)) AS DOUBLE)) AS tmrca, max(rep) AS recomb, true AS no_mutations
+FROM replicates GROUP BY scenario""",
+    ),
     "read_id_list": (["pedigree"], "SELECT ind AS sample_id FROM pedigree"),
     "read_pop_map": ([], "SELECT '^i' || n_nationkey AS pattern, split_part(n_name, ' ', 1) AS pop FROM nation"),
 }
