@@ -6,12 +6,16 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from locusframe.functions.patterns import candidates
 from locusframe.operators.ordered import ranked
 from locusframe.session import materialize
 
 # A bucket of this many base positions holds at most this many distinct markers.
 BUCKET_BASES = 65_536
+# Lines of a population map whose literals are looked for in one pass.
+MAP_PART = 100_000
 
 
 @dataclass(frozen=True)
@@ -264,13 +268,29 @@ def relabel_population(geno: DataFrame, pop_map: DataFrame) -> DataFrame:
 
     A pattern is matched against the whole tab-joined row.  Rows without a
     match vanish, rows with several repeat, and ``map_line`` tells which line
-    of the map matched.  The planner copies the map to every task while its
-    file is small and pairs partitions beyond that.
+    of the map matched.  One pass over the rows finds the literals that the
+    patterns cannot match without, all at once; only those (row, pattern) pairs
+    are joined by the map's line and put to the regular expression.  A pattern
+    without such a literal is put to every row; a null pattern matches none.
+    Maps beyond ``MAP_PART`` lines take a pass for each part of that size.
     """
     patterns = materialize(
-        pop_map.select(F.col("line_no").alias("map_line"), "pattern", F.col("pop").alias("new_pop")), "pop-map"
+        pop_map.where("pattern IS NOT NULL").select(
+            F.col("line_no").cast("bigint").alias("map_line"), "pattern", F.col("pop").alias("new_pop")
+        ),
+        "pop-map",
+    )
+    lines = geno.select(
+        "ind", "locus", "allele1", "allele2", F.concat_ws("\t", "ind", "pop", "locus", "allele1", "allele2").alias("line")
     )
-    lines = geno.withColumn("line", F.concat_ws("\t", "ind", "pop", "locus", "allele1", "allele2"))
-    return lines.join(patterns, F.expr("line rlike pattern")).select(
+    schema = T.StructType(lines.schema.fields + [T.StructField("candidates", T.ArrayType(T.LongType()))])
+    parts = -(-patterns.count() // MAP_PART) or 1
+    pairs = None
+    for part in range(parts):
+        listed = patterns.where(F.pmod(F.xxhash64("map_line"), F.lit(parts)) == part).select("map_line", "pattern")
+        finder = candidates([(r.map_line, r.pattern) for r in listed.collect()], "line")
+        found = lines.mapInArrow(finder, schema).withColumn("map_line", F.explode("candidates")).drop("candidates")
+        pairs = found if pairs is None else pairs.unionByName(found)
+    return pairs.join(patterns, "map_line").where(F.expr("line rlike pattern")).select(
         "map_line", F.col("new_pop").alias("pop"), "ind", "locus", "allele1", "allele2"
     )

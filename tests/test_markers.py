@@ -1,7 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from locusframe.functions import scalars as S
+from locusframe.functions.patterns import required_literal
 from locusframe.operators import markers as M
 from locusframe.plans.sampling import VariantSet, sample_vcf, sample_vcfs_shared
 from locusframe.schemas import CONTIGS, POP_MAP, SAMPLES, VARIANTS
@@ -132,6 +135,41 @@ def test_relabel_repeats_and_drops(spark):
     ]
 
 
+TRICKY = [
+    "^i1[0-9]*\\s", "i2+x?", "(i3|i4)", "i5|zz", "p\\.q", "a{2}", "ab*c", "[ab]c$", "(?i)P", ".", "x\\t", "i1\\x31", "(ab)?q", "nothing here",
+    "a+?b", "ab?", "[^p]q", "l7\\b", None,
+]
+
+
+@pytest.mark.parametrize("part", [100_000, 4])
+def test_relabel_against_every_pattern(spark, monkeypatch, part):
+    monkeypatch.setattr(M, "MAP_PART", part)
+    rng = random.Random(3)
+    inds = ["i1", "i11", "i2x", "i3", "i5", "zz", "p.q", "pxq", "aab", "abbc", "ac", "bc", "", "x"]
+    data = [
+        (rng.choice(["p", "q", "ab", None]), rng.choice(inds), rng.choice(["l7", "l", "aa"]), rng.choice("abx"), rng.choice("bc"))
+        for _ in range(200)
+    ]
+    geno = spark.createDataFrame(data, "pop string, ind string, locus string, allele1 string, allele2 string")
+    pops = spark.createDataFrame([(i, p, f"new{i}") for i, p in enumerate(TRICKY)], "line_no bigint, pattern string, pop string")
+    line = F.concat_ws("\t", "ind", geno["pop"], "locus", "allele1", "allele2")
+    want = geno.withColumn("line", line).drop("pop").crossJoin(pops).where("line rlike pattern")
+    columns = ["map_line", "pop", "ind", "locus", "allele1", "allele2"]
+    got = M.relabel_population(geno, pops)
+    assert rows(got, *columns) == rows(want.withColumnRenamed("line_no", "map_line"), *columns)
+    plan = got._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert M.relabel_population(geno, pops.limit(0)).count() == 0
+
+
+def test_required_literals():
+    wanted = {
+        "^i12[0-9]*\\s": "i12", "ab+cde": "cde", "a|b": None, "(x)abc": "abc", "abc?": "ab", "p\\.q": "p.q", "(?i)a": None,
+        "a{0,2}bc": "bc", "\\Qa\\E": None, "[a[b]]c": None, ".*": None, "x(y": "x",
+    }
+    assert {p: required_literal(p) for p in wanted} == wanted
+
+
 def test_union_relabelled(spark):
     out = M.union_relabelled([(1, variants(spark, [("chr1", 4)])), (7, variants(spark, [("chr1", 5)]))])
     assert rows(out, "chrom", "pos") == [("chr1", 4), ("chr7", 5)]
