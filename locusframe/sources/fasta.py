@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.operators.ordered import with_running_last, with_running_sum
 from locusframe.operators.sequences import CHUNK_BASES
 from locusframe.session import materialize
 from locusframe.sources.text import Paths, numbered_lines, write_sorted
@@ -36,28 +35,25 @@ def read_fasta(
     """(haplotypes, chunks) of the founders' sequences.
 
     Every line is placed by its own task: the header above it and its offset in
-    the sequence come from per-split carries, so a sequence is never gathered.
+    the sequence come from one sweep per split and per-split carries, so a sequence is never gathered.
     A ``sampleN`` beyond the founder list is left out.
 
     ``chrom`` tells the chromosome of a sequence from its columns ``file`` and
     ``header``; with it, both results carry ``chrom``.  One founder haplotype
     under two headers of a chromosome is an error, in one file or in several.
     """
-    rows = numbered_lines(spark, path, ~F.col("value").rlike(r"^\s*(#|$)")).withColumn(
-        "value", F.regexp_replace("value", r"\s+$", "")
-    )
+    trimmed = F.regexp_replace("value", r"\s+$", "")
     is_head = F.col("value").startswith(">")
-    rows = rows.withColumn("n", F.when(is_head, 0).otherwise(F.length("value")).cast("bigint"))
-    rows = with_running_sum(rows, ["file"], "block", ["line_no"], "n", "upto")
-    rows = rows.withColumn(
-        "head", F.when(is_head, F.struct(F.col("value").substr(F.lit(2), F.length("value")).alias("header"), F.col("upto").alias("base")))
-    )
-    placed = with_running_last(rows, ["file"], "block", ["line_no"], {"head": "own"}).where(~is_head & F.col("own").isNotNull())
+    bases = F.when(is_head, 0).otherwise(F.length(trimmed)).cast("bigint")
+    header = F.when(is_head, trimmed.substr(F.lit(2), F.length(trimmed)))
+    rows = numbered_lines(spark, path, ~F.col("value").rlike(r"^\s*(#|$)"), sums={"upto": bases}, last={"own": header})
+    placed = rows.withColumns({"n": bases, "value": trimmed}).where(~is_head & F.col("own").isNotNull())
     pieces = placed.select(
         "file",
-        F.col("own.base").alias("base"),
-        F.col("own.header").alias("header"),
-        (F.col("upto") - F.col("n") - F.col("own.base")).alias("offset"),
+        "file_no",
+        F.col("own.upto").alias("base"),
+        F.col("own.is").alias("header"),
+        (F.col("upto") - F.col("n") - F.col("own.upto")).alias("offset"),
         "n",
         "value",
     )
@@ -79,15 +75,15 @@ def read_fasta(
         cut = cut.withColumn("chrom", chrom.cast("int"))
     names = [*place, "founder", "homolog"]
     chunks = (
-        cut.groupBy("file", "base", *names, "chunk_no")
+        cut.groupBy("file_no", "base", *names, "chunk_no")
         .agg(F.array_sort(F.collect_list(F.struct(begin.alias("at"), part.alias("bases")))).alias("parts"))
-        .select("file", "base", *names, "chunk_no", F.array_join(F.transform("parts", lambda p: p["bases"]), "").alias("bases"))
+        .select("file_no", "base", *names, "chunk_no", F.array_join(F.transform("parts", lambda p: p["bases"]), "").alias("bases"))
     )
     stored = materialize(chunks, "haplotype-chunks")
     twice = stored.where("chunk_no = 0").groupBy(*names).count().where("count > 1").first()
     if twice is not None:
         raise ValueError(f"more than one sequence of {', '.join(str(twice[n]) for n in names)}")
-    chunks = stored.drop("file", "base")
+    chunks = stored.drop("file_no", "base")
     haplotypes = chunks.groupBy(*names).agg(F.sum(F.length("bases")).alias("seq_len"))
     return haplotypes, chunks
 

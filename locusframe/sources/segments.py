@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from locusframe.operators.ordered import with_running_last
 from locusframe.sources.text import Paths, blank_or_comment, numbered_lines, tokens, write_sorted
 
 FOUNDERS_PREFIX = "# Founders:"
 CHROMOSOMES_PREFIX = "# Chromosomes:"
+# A chromosome heading without a number.
+NO_NUMBER = -1
 SEGMENT = r"^\s*([0-9.eE+-]+)\s+([0-9.eE+-]+)\s+(\S+)"
 
 
@@ -50,7 +51,7 @@ def read_segments(spark: SparkSession, path: Paths) -> DataFrame:
     origin = field(3)
     return placed.where(homolog_here & _readable()).select(
         F.col("ind.is").alias("ind"),
-        F.when(chrom_here, F.col("chrom.is")).otherwise(1).alias("chrom"),
+        F.when(chrom_here, F.nullif(F.col("chrom.is"), F.lit(NO_NUMBER))).otherwise(1).alias("chrom"),
         F.col("homolog.is").alias("homolog"),
         (F.col("line_no") - F.col("homolog.line_no")).cast("int").alias("seq"),
         field(1).try_cast("double").alias("start"),
@@ -79,17 +80,18 @@ def _readable() -> Column:
 def _under_headings(spark: SparkSession, path: Paths) -> tuple[DataFrame, Column, Column]:
     """Lines with the headings above them; whether a homolog and a chromosome heading hold for a line."""
     value = F.col("value")
-    rows = numbered_lines(spark, path, ~blank_or_comment(value))
-    heading = lambda pattern, what: F.when(value.rlike(pattern), F.struct("line_no", what.alias("is")))
-    side = F.when(value.rlike(r"^\s*Paternal:"), 0).otherwise(1)
-    marked = rows.withColumns(
-        {
-            "i": heading(r"^Individual:", F.regexp_extract("value", r"^Individual:\s*(\S+)", 1)),
-            "c": heading(r"^\s*Chromosome:", F.regexp_extract("value", r"Chromosome:\s*(\d+)", 1).try_cast("int")),
-            "h": heading(r"^\s*(Paternal|Maternal):", side),
-        }
+    placed = numbered_lines(
+        spark,
+        path,
+        ~blank_or_comment(value),
+        last={
+            "ind": F.when(value.rlike(r"^Individual:"), F.regexp_extract("value", r"^Individual:\s*(\S+)", 1)),
+            "chrom": F.when(
+                value.rlike(r"^\s*Chromosome:"), F.coalesce(F.regexp_extract("value", r"Chromosome:\s*(\d+)", 1).try_cast("int"), F.lit(NO_NUMBER))
+            ),
+            "homolog": F.when(value.rlike(r"^\s*Paternal:"), 0).when(value.rlike(r"^\s*Maternal:"), 1),
+        },
     )
-    placed = with_running_last(marked, ["file"], "block", ["line_no"], {"i": "ind", "c": "chrom", "h": "homolog"})
     chrom_here = F.coalesce(F.col("chrom.line_no") > F.col("ind.line_no"), F.lit(False))
     homolog_here = F.col("homolog.line_no") > F.when(chrom_here, F.col("chrom.line_no")).otherwise(F.col("ind.line_no"))
     return placed, homolog_here, chrom_here

@@ -259,3 +259,28 @@ def test_segment_header_is_written_and_read(spark, tmp_path):
     assert sorted(map(tuple, back.collect())) == rows_in
     assert segments.segment_rejects(spark, str(tmp_path / "known")).count() == 0
     assert [r.founder for r in segments.read_founders(spark, str(tmp_path / "known")).orderBy("ord").collect()] == ["f", "g"]
+
+
+def test_running_sums_and_last_values_of_lines(spark, text_file, tiny_splits):
+    content = [f">{i}" if i % 11 == 5 else "#" if i % 5 == 0 else "x" * (i % 17 + 1) for i in range(300)]
+    files = [text_file(name, "\n".join(content[k:]) + "\n") for k, name in enumerate(("a.txt", "b.txt"))]
+    is_head = F.col("value").startswith(">")
+    got = text.numbered_lines(
+        spark, files, F.col("value") != "#", sums={"upto": F.when(is_head, 0).otherwise(F.length("value"))}, last={"own": F.when(is_head, F.col("value"))}
+    )
+    assert got.select("file", "block").distinct().count() > 6
+    # Lines are neither shuffled nor sorted, and carry no path beside their file's.
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan and "hashpartitioning" not in plan
+    want = []
+    for k in (0, 1):
+        upto, own, n = 0, None, 0
+        for line in content[k:]:
+            if line == "#":
+                continue
+            n += 1
+            upto += 0 if line.startswith(">") else len(line)
+            own = (line, n, upto) if line.startswith(">") else own
+            want.append((k + 1, n, line, upto, own))
+    found = [(r.file_no, r.line_no, r.value, r.upto, tuple(r.own) if r.own else None) for r in got.collect()]
+    assert sorted(found, key=repr) == sorted(want, key=repr)
