@@ -166,7 +166,7 @@ def gene_flow(ped: DataFrame, levels: DataFrame | None = None) -> tuple[DataFram
         children, parents = _couples(born)
         known = shares.read()
         passed = materialize(
-            parents.join(known.withColumnRenamed("ind", "parent"), "parent")
+            parents.join(known.withColumnRenamed("ind", "parent").hint("merge"), "parent")
             .groupBy("couple", "ancestor")
             .agg(
                 (F.sum("share") * 0.5).alias("share"),
@@ -176,25 +176,25 @@ def gene_flow(ped: DataFrame, levels: DataFrame | None = None) -> tuple[DataFram
             "passed-shares",
         )
         shares.append(
-            children.join(passed, "couple")
+            children.join(passed.hint("merge"), "couple")
             .select("ind", "ancestor", "share")
             .unionByName(children.select("ind", F.col("ind").alias("ancestor"), F.lit(1.0).alias("share")))
         )
         earlier = values.read()
         related = (
             passed.where("by_father IS NOT NULL AND by_mother IS NOT NULL")
-            .join(earlier.select(F.col("ind").alias("ancestor"), "d"), "ancestor")
+            .join(earlier.select(F.col("ind").alias("ancestor"), "d").hint("merge"), "ancestor")
             .groupBy("couple")
             .agg((F.sum(F.expr("by_father * by_mother * d")) * 0.5).alias("f"))
         )
         left_out = (
-            parents.join(earlier.select(F.col("ind").alias("parent"), F.col("f").alias("fp")), "parent")
+            parents.join(earlier.select(F.col("ind").alias("parent"), F.col("f").alias("fp")).hint("merge"), "parent")
             .groupBy("couple")
             .agg(F.sum((1 + F.col("fp")) * 0.25).alias("explained"))
         )
         values.append(
-            children.join(related, "couple", "left")
-            .join(left_out, "couple", "left")
+            children.join(related.hint("merge"), "couple", "left")
+            .join(left_out.hint("merge"), "couple", "left")
             .select(
                 "ind",
                 F.coalesce("f", F.lit(0.0)).alias("f"),
@@ -275,29 +275,31 @@ def ancestor_closure(ped: DataFrame, ids: DataFrame) -> DataFrame:
     newest = ledger.append(ids.select("ind").distinct())
     links = parent_links(ped).select("ind", "parent")
     while not newest.isEmpty():
-        parents = links.join(newest, "ind", "left_semi").select(F.col("parent").alias("ind")).distinct()
-        newest = ledger.append(parents.join(ledger.read(), "ind", "left_anti"))
-    return ped.join(ledger.read(), "ind", "left_semi")
+        parents = links.join(newest.hint("merge"), "ind", "left_semi").select(F.col("parent").alias("ind")).distinct()
+        newest = ledger.append(parents.join(ledger.read().hint("merge"), "ind", "left_anti"))
+    return ped.join(ledger.read().hint("merge"), "ind", "left_semi")
 
 
 def kinship_of(ped: DataFrame, pairs: DataFrame, levels: DataFrame | None = None) -> DataFrame:
     """phi of the listed pairs (a, b) only; 0 for an unrelated pair.
 
-    Only ancestors of the listed individuals take part.
+    Only ancestors of the listed individuals take part. Tables of individuals
+    and shares, which compress well, meet by merge joins: none is sent to the
+    driver because its files are small.
     """
     pairs = materialize(pairs.select("a", "b").distinct(), "pairs")
     members = pairs.select(F.col("a").alias("ind")).union(pairs.select("b"))
     kept = ancestor_closure(ped, members)
     if levels is not None:
-        levels = levels.join(kept.select("ind"), "ind", "left_semi")
+        levels = levels.join(kept.select("ind").hint("merge"), "ind", "left_semi")
     shares, values = gene_flow(kept, levels)
-    weighted = shares.join(values.select(F.col("ind").alias("ancestor"), "d"), "ancestor")
+    weighted = shares.join(values.select(F.col("ind").alias("ancestor"), "d").hint("merge"), "ancestor")
     of_a = weighted.select(F.col("ind").alias("a"), "ancestor", (F.col("share") * F.col("d")).alias("wa"))
     of_b = shares.select(F.col("ind").alias("b"), "ancestor", F.col("share").alias("wb"))
     phi = (
-        pairs.join(of_a, "a")
-        .join(of_b, ["b", "ancestor"])
+        pairs.join(of_a.hint("merge"), "a")
+        .join(of_b.hint("merge"), ["b", "ancestor"])
         .groupBy("a", "b")
         .agg((F.sum(F.col("wa") * F.col("wb")) * 0.5).alias("phi"))
     )
-    return pairs.join(phi, ["a", "b"], "left").select("a", "b", F.coalesce("phi", F.lit(0.0)).alias("phi"))
+    return pairs.join(phi.hint("merge"), ["a", "b"], "left").select("a", "b", F.coalesce("phi", F.lit(0.0)).alias("phi"))
