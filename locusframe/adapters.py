@@ -19,10 +19,21 @@ COHORT = 10
 CHUNK = 32
 
 
+# Rows that one task is to hold of a table that is joined, grouped or expanded.
+TASK_ROWS = 500_000
+# Variant records, of 50 calls each, that one task is to make.
+TASK_RECORDS = 100_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, rows: int, *keys: str, size: int = TASK_ROWS) -> DataFrame:
+    """``df`` in partitions of about ``size`` of its ``rows``, so that a task's work and memory do not grow with the input."""
+    return df.repartition(-(-rows // size), *keys) if rows > size else df
+
+
 # ---------------------------------------------------------------- genotypes
 
 def raw_genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,8 +52,10 @@ def raw_genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (order, line); grouping on the join key needs no second shuffle."""
-    lines = table(spark, sf_dir, "lineitem")
-    orders = table(spark, sf_dir, "orders")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    n = lines.count()
+    lines, orders = dealt(lines, n, "l_orderkey"), dealt(orders, n, "o_orderkey")
     return (
         lines.join(orders, lines.l_orderkey == orders.o_orderkey)
         .groupBy("l_orderkey", "l_linenumber", "o_orderpriority")
@@ -77,19 +90,24 @@ def _variant_columns(file_id: str, key: str):
     ]
 
 
+def _records(spark: SparkSession, sf_dir: str, name: str, file_id: str, key: str) -> DataFrame:
+    keys = table(spark, sf_dir, name).select(key)
+    return dealt(keys, keys.count(), size=TASK_RECORDS).select(*_variant_columns(file_id, key))
+
+
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Haploid founder panel: one record per part, one column per founder haplotype."""
-    return table(spark, sf_dir, "part").select(*_variant_columns("a", "p_partkey"))
+    return _records(spark, sf_dir, "part", "a", "p_partkey")
 
 
 def variants_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Second file: one record per line item, so positions repeat."""
-    return table(spark, sf_dir, "lineitem").select(*_variant_columns("b", "l_partkey"))
+    return _records(spark, sf_dir, "lineitem", "b", "l_partkey")
 
 
 def variants_third(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Third file: one record per order, keyed by its customer."""
-    return table(spark, sf_dir, "orders").select(*_variant_columns("c", "o_custkey"))
+    return _records(spark, sf_dir, "orders", "c", "o_custkey")
 
 
 def three_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,7 +221,8 @@ def relatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three founder segments per customer, chromosome and homolog."""
     k = F.col("c_custkey")
-    base = table(spark, sf_dir, "customer").select(
+    customers = table(spark, sf_dir, "customer").select("c_custkey")
+    base = dealt(customers, customers.count() * N_CHROMS * 6).select(
         k.alias("k"), F.explode(F.sequence(F.lit(1), F.lit(N_CHROMS))).alias("chrom")
     )
     base = base.withColumn("homolog", F.explode(F.array(F.lit(0), F.lit(1))))

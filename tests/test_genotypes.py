@@ -141,3 +141,15 @@ def test_hwe_against_direct_count(spark):
             assert r.d is None
         else:
             assert near(r.d, w[0]) and near(r.half_width, w[1]) and r.significant == w[2]
+
+
+def test_tables_are_dealt_by_their_rows(spark, tmp_path, monkeypatch):
+    from locusframe import adapters as A
+
+    monkeypatch.setattr(A, "TASK_ROWS", 100)
+    monkeypatch.setattr(A.dealt, "__kwdefaults__", {"size": 100})
+    spark.range(1000).selectExpr("id as l_orderkey", "1 as l_linenumber", "id as l_partkey", "id as l_suppkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(1000).selectExpr("id as o_orderkey", "'p' as o_orderpriority").write.parquet(f"{tmp_path}/orders.parquet")
+    plan = A.genotypes(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and ", 10)" in plan
+    assert A.genotypes(spark, str(tmp_path)).count() == 1000
