@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from locusframe.functions.patterns import candidates
+from locusframe.functions.scalars import call_fields, plain_symbol
 from locusframe.operators.ordered import ranked
 from locusframe.session import materialize
 
@@ -201,21 +203,28 @@ def union_relabelled(parts: list[tuple[int, DataFrame]]) -> DataFrame:
 
 def _haplotypes(gts: Column) -> Column:
     """All allele symbols of a record, across samples and homologs."""
-    return F.flatten(F.transform(gts, lambda g: F.split(F.split_part(g, F.lit(":"), F.lit(1)), r"[|/]")))
+    return F.flatten(F.transform(gts, call_fields))
 
 
 def _carries(allele: Column) -> Column:
     return ~allele.isin("0", ".", "")
 
 
+def _any_haplotype(gts: Column, test: Callable[[Column], Column]) -> Column:
+    """Whether an allele symbol of a record passes; looks no further than the first. NULL where a call is NULL."""
+    in_call = lambda g: F.when(plain_symbol(g), test(g)).otherwise(F.exists(call_fields(g), test))
+    of = lambda calls: F.when(~F.exists(calls, lambda g: g.isNull()), F.exists(calls, in_call))
+    return F.exists(F.array(gts), of)  # the calls are computed once, whatever they are computed from
+
+
 def segregating(variants: DataFrame) -> DataFrame:
     """Drop the sites at which every haplotype carries a derived allele."""
-    return variants.where(F.exists(_haplotypes(F.col("gts")), lambda a: ~_carries(a)))
+    return variants.where(_any_haplotype(F.col("gts"), lambda a: ~_carries(a)))
 
 
 def polymorphic(variants: DataFrame) -> DataFrame:
     """Drop the sites at which no output genotype carries a derived allele; other fields of a call do not count."""
-    return variants.where(F.exists(_haplotypes(F.col("gts")), _carries))
+    return variants.where(_any_haplotype(F.col("gts"), _carries))
 
 
 def mutation_list(variants: DataFrame) -> DataFrame:

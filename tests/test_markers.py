@@ -186,3 +186,12 @@ def test_scalars(spark):
     assert [tuple(r) for r in got] == [(0, 1, 0, -1), (5, 6, 2, 4), (9, 10, 3, 9), (10, 10, 3, 9)]
     frac = spark.range(1).select(S.bp_to_frac(F.lit(5), F.lit(None)), S.bp_to_frac(F.lit(5), F.lit(0)), S.bp_to_frac(F.lit(5), F.lit(20)))
     assert tuple(frac.first()) == (5e-7, 5e-7, 0.25)
+
+
+def test_haplotype_tests_stop_early_and_keep_the_odd_calls(spark):
+    calls = [["0", "1"], ["1", "1"], ["0|0:1", "./."], ["1|0:9", "."], [":"], ["|"], ["2/1"], ["1", None], [], ["0", None]]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(calls)], "i int, gts array<string>")
+    assert [i for (i,) in rows(M.segregating(df), "i")] == [0, 2, 3, 4, 5]
+    assert [i for (i,) in rows(M.polymorphic(df), "i")] == [0, 1, 3, 6]
+    # The symbols of all calls are no longer put into one array first.
+    assert "flatten" not in M.segregating(df)._jdf.queryExecution().optimizedPlan().toString()
